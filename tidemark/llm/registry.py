@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tidemark.llm.quality_classifier import op8_quality_classifier
+from tidemark.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
