@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.quality_classifier import op8_quality_classifier
 from tidemark.llm.substring_dedup import op9_substring_dedup
+from tidemark.llm.suffix_repetition import op2_suffix_repetition
 
-QUERIES = {
-    "op8_quality_classifier": op8_quality_classifier,
-    "op9_substring_dedup": op9_substring_dedup,
-}
+QUERIES = {f.__name__: f for f in (op2_suffix_repetition, op8_quality_classifier, op9_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
