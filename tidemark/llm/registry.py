@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.llm.license_scan import op4_license_scan
 from tidemark.llm.quality_classifier import op8_quality_classifier
 from tidemark.llm.substring_dedup import op9_substring_dedup
 from tidemark.llm.suffix_repetition import op2_suffix_repetition
+from tidemark.llm.toxicity_grammar import op3_toxicity_grammar
 
-QUERIES = {f.__name__: f for f in (op2_suffix_repetition, op8_quality_classifier, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_suffix_repetition, op3_toxicity_grammar, op4_license_scan, op8_quality_classifier, op9_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
