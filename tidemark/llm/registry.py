@@ -6,6 +6,7 @@ from tidemark.llm import url_language_model
 from tidemark.llm.bpe_codec import op6_bpe_codec
 from tidemark.llm.license_scan import op4_license_scan
 from tidemark.llm.quality_classifier import op8_quality_classifier
+from tidemark.llm.source_mixing import op1_source_mixing
 from tidemark.llm.substring_dedup import op9_substring_dedup
 from tidemark.llm.suffix_repetition import op2_suffix_repetition
 from tidemark.llm.toxicity_grammar import op3_toxicity_grammar
@@ -14,6 +15,7 @@ from tidemark.llm.url_language_model import op10_url_language_model
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_source_mixing,
         op2_suffix_repetition,
         op3_toxicity_grammar,
         op4_license_scan,
