@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm import url_language_model
 from tidemark.llm.bpe_codec import op6_bpe_codec
+from tidemark.llm.jaccard_join import op5_jaccard_join
 from tidemark.llm.license_scan import op4_license_scan
 from tidemark.llm.quality_classifier import op8_quality_classifier
 from tidemark.llm.source_mixing import op1_source_mixing
@@ -19,6 +20,7 @@ QUERIES = {
         op2_suffix_repetition,
         op3_toxicity_grammar,
         op4_license_scan,
+        op5_jaccard_join,
         op6_bpe_codec,
         op8_quality_classifier,
         op9_substring_dedup,
