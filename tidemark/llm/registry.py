@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemark.llm import url_language_model
 from tidemark.llm.bpe_codec import op6_bpe_codec
+from tidemark.llm.hash_neighbours import op7_hash_neighbours
 from tidemark.llm.jaccard_join import op5_jaccard_join
 from tidemark.llm.license_scan import op4_license_scan
 from tidemark.llm.quality_classifier import op8_quality_classifier
@@ -22,9 +24,11 @@ QUERIES = {
         op4_license_scan,
         op5_jaccard_join,
         op6_bpe_codec,
+        op7_hash_neighbours,
         op8_quality_classifier,
         op9_substring_dedup,
         op10_url_language_model,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {"op10_url_language_model": url_language_model.ORACLE}
