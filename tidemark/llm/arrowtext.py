@@ -11,7 +11,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 U64 = np.uint64
 _GOLDEN, _MIX1, _MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -25,17 +24,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int, budget: int = 3 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of about ``budget`` bytes of text, so that memory doesn't depend on the batch size.
-
-    A longer text gets a slice of its own; no text is cut.
+_BASE = 0xC2B2AE3D27D4EB4F
+_INVERSE = pow(_BASE, -1, 2**64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo 2**64."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), U64(base))
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if len(have) <= 1 << 24:
+            _powers[base] = have
+    return have[:n]
+
+
+def hash_strings(values: pa.Array, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each string, the same in every process: a polynomial of its bytes, mixed with its length."""
+    values = values.cast(pa.large_string())
+    if not len(values):
+        return np.empty(0, U64)
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    total = np.concatenate([np.zeros(1, U64), np.cumsum((raw.astype(U64) + U64(1)) * powers(_INVERSE, len(raw)), dtype=U64)])
+    # a string's bytes summed with falling powers from its own start
+    h = (total[ends[1:]] - total[ends[:-1]]) * powers(_BASE, len(raw) + 1)[ends[:-1]]
+    return mix(h ^ mix(np.diff(ends).astype(U64) + U64(seed) * _GOLDEN))
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: int, budget: int = 3 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of about ``budget`` bytes of text and at most ``rows`` rows, so that memory doesn't
+    depend on the batch size. A longer text gets a slice of its own; no text is cut.
     """
     for batch in batches:
         if not batch.num_rows:
             continue
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).cast(pa.int64()))
         part = (np.cumsum(size) - size) // budget
-        cuts = np.flatnonzero(np.diff(part)) + 1
+        cuts = np.flatnonzero((np.diff(part) != 0) | (np.arange(1, len(size)) % rows == 0)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             yield batch.slice(a, b - a)
 
@@ -55,8 +84,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same in every process."""
-        h = xxhash.xxh64_intdigest
-        return np.fromiter((h(x) for x in self.vocabulary.to_pylist()), U64, len(self.vocabulary))[self.ids]
+        return hash_strings(self.vocabulary)[self.ids]
 
 
 def as_text(column: pa.Array) -> pa.Array:

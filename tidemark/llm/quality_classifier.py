@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrowtext import U64, mix, segment_sum, slices, words
+from tidemark.llm.arrowtext import U64, hash_strings, mix, segment_sum, slices, words
 
 BITS = 18
 SCALE = 16.0
@@ -43,17 +43,11 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     shapes = w.vocabulary
     for pattern, to in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}]+", "a"), (r"\p{N}+", "0"), (r"!+", "!"), (r"\*+", "*"), (r"#+", "#"), (r"%+", "%"), (r"&+", "&"), (r"\$+", "$"), (r"\.+", ".")):
         shapes = pc.replace_substring_regex(shapes, pattern, to)
-    from xxhash import xxh64_intdigest as h
-
-    def hashed(values: pa.Array, seed: int) -> np.ndarray:
-        d = values.dictionary_encode()
-        return np.fromiter((h(x, seed) for x in d.dictionary.to_pylist()), U64, len(d.dictionary))[np.asarray(d.indices)]
-
-    word = hashed(pc.utf8_lower(w.vocabulary), 1)
+    word = hash_strings(pc.utf8_lower(w.vocabulary), 1)
     first = np.zeros(len(w.ids), bool)
     first[w.offsets[:-1][size > 0]] = True
     again = np.concatenate([[False], (w.ids[1:] == w.ids[:-1])]) & ~first
-    shape = np.where(again, U64(h("=", 2)), hashed(shapes, 2)[w.ids])
+    shape = np.where(again, hash_strings(pa.array(["="]), 2)[0], hash_strings(shapes, 2)[w.ids])
     word = word[w.ids]
     doc = w.doc
     parts, docs = [], []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrowtext import U64, mix, ngrams, slices, words
+from tidemark.llm.arrowtext import U64, mix, powers, slices, words
 
 WINDOW = 50
 GRAM = 8
@@ -40,17 +40,11 @@ _POSITION_BITS = 31
 RUNS = "anchor long, doc_id long, first int, packed binary"
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U64(base % 2**64))
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def rabin_karp(h: np.ndarray, window: int) -> np.ndarray:
     """Hash of each run of ``window`` words: sum of h[i + j] * base**-j, modulo 2**64, from running sums."""
     inverse = pow(_BASE, -1, 2**64)
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(h * _powers(inverse, len(h)), dtype=U64)])
-    return mix((total[window:] - total[:-window]) * _powers(_BASE, len(h) - window + 1))
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(h * powers(inverse, len(h)), dtype=U64)])
+    return mix((total[window:] - total[:-window]) * powers(_BASE, len(h) - window + 1))
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
