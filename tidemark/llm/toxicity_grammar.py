@@ -167,7 +167,7 @@ def score_texts(column: pa.Array, table: tuple[list[list[int]], list[list[float]
     if not len(trigger):
         return total, clauses, most
     # sentences that hold a trigger: from behind the last end before it to the next end
-    ends = np.flatnonzero(mark == END)
+    ends = np.append(np.flatnonzero(mark == END), len(sym) - 1)
     doc = w.doc[trigger]
     i = np.searchsorted(ends, trigger)
     first = np.maximum(np.where(i > 0, ends[np.maximum(i - 1, 0)] + 1, 0), w.offsets[doc])
