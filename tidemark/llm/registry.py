@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import url_language_model
+from tidemark.llm import jaccard_join, substring_dedup, url_language_model
 from tidemark.llm.bpe_codec import op6_bpe_codec
 from tidemark.llm.hash_neighbours import op7_hash_neighbours
 from tidemark.llm.jaccard_join import op5_jaccard_join
@@ -31,4 +31,8 @@ QUERIES = {
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {"op10_url_language_model": url_language_model.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": jaccard_join.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
+    "op10_url_language_model": url_language_model.ORACLE,
+}

@@ -185,3 +185,12 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_intervals(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = rf"""with own as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents where doc_id is not null and text is not null),
+    places as (select doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) as i from own where len(w) >= {WINDOW}),
+    windows as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ')) as k, doc_id::hugeint * 1000000000 + i as place from places),
+    met as (select doc_id, i, place > least as removed from windows join (select k, min(place) as least, max(place) as most from windows group by k having min(place) <> max(place)) using (k)),
+    runs as (select *, sum(new) over (partition by doc_id, removed order by i) as run from
+        (select distinct doc_id, removed, i, case when i - lag(i) over (partition by doc_id, removed order by i) <= {WINDOW} then 0 else 1 end as new from (select distinct doc_id, removed, i from met) x) y)
+    select doc_id, (min(i) - 1)::int as start_word, (max(i) - 1 + {WINDOW})::int as end_word, removed from runs group by doc_id, removed, run"""
