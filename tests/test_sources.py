@@ -85,3 +85,16 @@ def test_stream_equals_batch(spark, tmp_path):
     s = spark.readStream.schema(links.schema).parquet(str(tmp_path / "links"))
     driver.run_available(driver.url_stream(s), str(tmp_path / "lo"), str(tmp_path / "lc"))
     assert [r.url for r in spark.read.parquet(str(tmp_path / "lo")).collect()] == ["http://a.b/x/y/z.html"]
+
+
+def test_written_tables(spark):
+    from tidemark import tables
+
+    t = tables.written(spark.range(5).withColumn("x", F.col("id") * 2), "probe")
+    assert t.columns == ["id", "x"] and t.count() == 5
+    path = tables._paths[-1]
+    assert path.startswith(tables.shared_folder(spark))
+    assert tables.clear(spark) >= 1
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))

@@ -22,7 +22,7 @@ def rss_matches(items: DataFrame, keywords: DataFrame, translations: Mapping[str
     cjk = F.col("_w").rlike("[\\u4e00-\\u9fff]")
     word = F.concat(F.lit("(?U)\\b"), F.regexp_replace(F.lower("_w"), "([^\\p{L}\\p{N}])", "\\\\$1"), F.lit("\\b"))
     hit = F.when(cjk, F.contains(body, F.col("_w"))).otherwise(F.regexp_like(F.lower(body), word))
-    return items.join(F.broadcast(words), hit).groupBy("keyword", "url").agg(F.min("ord").alias("ord"))
+    return items.join(words, hit).groupBy("keyword", "url").agg(F.min("ord").alias("ord"))
 
 
 def promote(candidates: DataFrame, by: Sequence[str] = ("keyword",), parents: int = 2) -> DataFrame:
