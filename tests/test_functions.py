@@ -16,7 +16,7 @@ def one(spark, column):
 
 
 CANONICAL = [
-    ("https://example.com/page.html?utm_source=baidu&page=1", None, "https://example.com/page.html?page=1"),
+    ("https://site.test/page.html?utm_source=feed&page=1", None, "https://site.test/page.html?page=1"),
     ("HTTPS://WWW.Example.COM:443//a///b/index.html?b=2&a=1&spm=x#f", None, "https://www.example.com/a/b?a=1&b=2"),
     ("http://x.com:80", None, "http://x.com/"),
     ("http://x.com/index.htm", None, "http://x.com/"),

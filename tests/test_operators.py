@@ -76,7 +76,7 @@ def test_external_links_and_entrances(spark):
     wiki = '<h2>See</h2><a href="http://no.com/">n</a><h2><span>External links</span></h2><ul><a href="http://e.com/a#x">1</a><a href="https://en.wikipedia.org/w">w</a><a href="http://e.com/f.pdf">p</a></ul><h2>Other</h2><a href="http://z.com">z</a>'
     p = spark.createDataFrame([(1, wiki), (2, '<a class="external text" href="http://q.com/">q</a>')], "id int, html string")
     assert {(r.id, r.url) for r in X.external_links(p, "id").collect()} == {(1, "http://e.com/a"), (2, "http://q.com/")}
-    h = '<link rel="alternate" type="application/rss+xml" href="/feed"><a href="/news/">n</a><a href="/news/share">s</a><a href="/x">x</a>'
+    h = '<link type="application/rss+xml" rel="alternate" href="/feed"><a href="/news/">n</a><a href="/news/share">s</a><a href="/x">x</a>'
     got = X.discovered_entrances(spark.createDataFrame([(1, "http://a.com/", h)], "id int, url string, html string"), "id").orderBy("pos").collect()
     assert [r.entrance for r in got] == ["http://a.com/feed", "http://a.com/news"]
 

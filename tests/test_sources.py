@@ -9,7 +9,8 @@ from tidemark.streaming import driver
 
 
 def test_slides_to_report(spark, tmp_path):
-    deck = {"input_file": "f", "total_pages": 2, "should_optimize_count": 1, "teaching_chain": "", "decisions": [{"slide_number": 1, "title": "a", "should_optimize": True, "reason": "r", "suggested_keywords": ["x", "y"], "optimization_strategy": ""}, {"slide_number": 2, "title": "b", "should_optimize": False, "reason": "", "suggested_keywords": [], "optimization_strategy": ""}]}
+    slide = lambda n, chosen, words: dict(title=f"t{n}", slide_number=n, reason="r", should_optimize=chosen, optimization_strategy="", suggested_keywords=words)
+    deck = dict(input_file="f", teaching_chain="", total_pages=2, should_optimize_count=1, decisions=[slide(1, True, ["x", "y"]), slide(2, False, [])])
     (tmp_path / "s.json").write_text(json.dumps(deck, indent=1))
     slides = readers.slides(spark, str(tmp_path / "s.json"))
     slots = readers.slots(slides)

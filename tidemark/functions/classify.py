@@ -23,6 +23,7 @@ KNOWLEDGE_HOSTS = "vocab.getty.edu id.loc.gov id.ndl.go.jp".split()
 _LISTING = "/(tags?|topics?|category|categories|archives?)/"
 _ANCHOR = "/(docs|documentation|doc|manual|handbook|guide|tutorial|reference|api|spec|standards|courses?|syllabus|lectures?|teaching|learn|learning|kb|wiki)/|/(introduction|overview|getting[-_]started)"
 _NEWSROOM = "^/(news|press|pressroom|press-releases|releases|updates|announcements|notices|bulletin|blog)(/|$)"
+_FEEDS = "(?i)(?<![^/])feeds/"
 _FORUM_HOST = "stackoverflow\\.com|stackexchange\\.com|reddit\\.com|quora\\.com|zhihu\\.com|tieba\\.baidu\\.com|discuss|forum|bbs"
 #: Kind -> smallest score that is kept.
 KEEP_FROM = {"event_seed": 8, "anchor_seed": 6, "evidence": 0}
@@ -169,19 +170,19 @@ def kept(kind: Column, score: Column) -> Column:
 
 def entrances_of_feed(feed_url: Column) -> Column:
     """Sorted array of the listing pages that a feed URL points to."""
-    kinds = ("topic", "topics", "tag", "tags", "category", "categories")
+    kinds = "categories category tag tags topic topics".split()
     none = F.array().cast("array<string>")
 
     def split(u: Column) -> Column:
         p = F.regexp_replace(F.regexp_replace(U.path(u), "^/+|/+$", ""), "(?i)\\.(rss|xml)$", "")
-        topic = F.regexp_extract(p, "(?i)(?:^|/)feeds/(?:topics?|tags?|category|categories)/([^/]+)$", 1)
-        plain = F.regexp_extract(p, "(?i)(?:^|/)feeds/([^/]+)$", 1)
+        topic = F.regexp_extract(p, f"{_FEEDS}(?:categor(?:y|ies)|tags?|topics?)/([^/]+)\\z", 1)
+        plain = F.regexp_extract(p, f"{_FEEDS}([^/]+)\\z", 1)
         ok = F.startswith(U.scheme(u), F.lit("http")) & (U.netloc(u) != "")
         return F.struct(F.concat(U.scheme(u), F.lit("://"), U.netloc(u)).alias("site"), topic.alias("topic"), plain.alias("plain"), ok.alias("ok"))
 
     def listed(x: Column) -> Column:
         pages = lambda names, slug: F.array(*(F.concat(x["site"], F.lit(f"/{k}/"), slug) for k in names))
-        more = F.when(x["topic"] != "", pages(kinds, x["topic"])).when(x["plain"] != "", pages((*kinds, "news", "blog"), x["plain"])).otherwise(none)
+        more = F.when(x["topic"] != "", pages(kinds, x["topic"])).when(x["plain"] != "", pages([*kinds, "blog", "news"], x["plain"])).otherwise(none)
         return F.when(x["ok"], F.array_sort(F.array_distinct(F.transform(F.concat(F.array(F.concat(x["site"], F.lit("/"))), more), U.without_fragment)))).otherwise(none)
 
     return let(U.without_fragment(feed_url), lambda u: let(split(u), listed))
@@ -196,7 +197,7 @@ def promoted_entrances(url: Column, parents: int = 2) -> Column:
     n = F.size(seg)
     cuts = F.when(n > 1, F.sequence(n - 1, F.greatest(n - parents, F.lit(1)), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     up = F.transform(cuts, lambda k: F.concat(site, F.lit("/"), F.array_join(F.slice(seg, 1, k), "/"), F.lit("/")))
-    low = F.filter(F.transform(F.slice(seg, 1, 3), F.lower), lambda s: s.isin("news", "press", "blog", "updates", "releases"))
+    low = F.filter(F.transform(F.slice(seg, 1, 3), F.lower), lambda s: s.isin("blog", "news", "press", "releases", "updates"))
     rooms = F.transform(low, lambda s: F.concat(site, F.lit("/"), s, F.lit("/")))
     all_of = F.concat(F.array(F.concat(site, F.lit("/"))), F.when(trimmed == "", none).otherwise(F.concat(up, rooms)))
     ok = F.startswith(U.scheme(url), F.lit("http")) & (U.netloc(url) != "")

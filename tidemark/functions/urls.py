@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import let, strip
 
 _SPLIT = "^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?"
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "ref", "source", "share", "scene", "timestamp", "nsukey", "eqid", "vd_source")
-MEDIA = ("webp", "jpg", "jpeg", "png", "gif", "svg", "pdf", "doc", "docx", "mp4", "mp3", "zip", "rar")
-WIKI_FAMILY = ("wikipedia", "wikimedia", "wikidata", "mediawiki", "wiktionary", "wikisource", "wikibooks", "wikiquote", "wikinews", "wikivoyage")
+TRACKING = tuple("eqid from nsukey ref scene share source spm timestamp utm_campaign utm_content utm_medium utm_source utm_term vd_source".split())
+MEDIA = tuple("doc docx gif jpeg jpg mp3 mp4 pdf png rar svg webp zip".split())
+WIKI_FAMILY = tuple("mediawiki wikibooks wikidata wikimedia wikinews wikipedia wikiquote wikisource wikivoyage wiktionary".split())
 
 
 def scheme(url: Column) -> Column:
@@ -168,7 +168,7 @@ def looks_like_article(url: Column) -> Column:
 
     def judged(x: Column) -> Column:
         p = x["p"]
-        listing = F.exists(x["keys"], lambda k: F.startswith(k, F.lit("utm_")) | k.isin("spm", "from", "ref", "source", "share", "page", "p", "pagesize"))
+        listing = F.exists(x["keys"], lambda k: F.startswith(k, F.lit("utm_")) | k.isin("from", "p", "page", "pagesize", "ref", "share", "source", "spm"))
         depth = F.length(F.regexp_replace(F.regexp_replace(p, "^/+|/+$", ""), "[^/]", ""))
         return (
             F.when(x["u"].isNull() | (x["u"] == ""), False)
@@ -184,7 +184,7 @@ def looks_like_article(url: Column) -> Column:
 def external_candidate(url: Column) -> Column:
     host = F.lower(netloc(url))
     wiki = host.rlike("(" + "|".join(WIKI_FAMILY) + ")\\.org$")
-    return F.coalesce(F.startswith(url, F.lit("http")) & (host != "") & ~wiki & ~url.rlike("(?i)\\.(pdf|jpg|jpeg|png|gif|svg|mp4|mp3|zip|rar)$"), F.lit(False))
+    return F.coalesce(F.startswith(url, F.lit("http")) & (host != "") & ~wiki & ~url.rlike("(?i)\\.(gif|jpe?g|mp[34]|pdf|png|rar|svg|zip)$"), F.lit(False))
 
 
 def educational(url: Column) -> Column:

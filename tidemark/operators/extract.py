@@ -14,7 +14,7 @@ from tidemark.functions import text as T
 from tidemark.functions import urls as U
 
 LINKS = "array<struct<href: string, text: string, title: string>>"
-_HIDDEN = {"script", "style", "nav", "footer", "header"}
+_HIDDEN = set("footer header nav script style".split())
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 

@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- SQL building blocks
+# SQL building blocks
 _HITS = r"len(regexp_extract_all(lower(text), '\bthe\b'))"
 _COLLAPSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 _HASH = f"case when text is null or text = '' then '' else md5({_COLLAPSED}) end"
@@ -77,7 +77,7 @@ _KIND = r"""classes as (select page_id, weak as url, host as domain, array_to_st
     regexp_matches(lower(path), '\.(html|htm|pdf|doc|docx|ppt|pptx)$') as content, regexp_matches(q, '(^|&)(page|p|offset)=.') as paged from (select *, """ + _WEAK + """ as weak from parts) x) y)"""
 
 
-# ---------------------------------------------------------------- text
+# text
 @query(f"select doc_id, {_HITS} as hits from documents")
 def keyword_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.keyword_hits(F.col("text"), [KEYWORD]).cast("long").alias("hits"))
@@ -130,7 +130,7 @@ def rule_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.rule_score(F.col("text"), [KEYWORD]).alias("rule_score"))
 
 
-# ---------------------------------------------------------------- gate
+# gate
 def _gated(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     pages = d.select("doc_id", *extra, F.col("text").alias("main_content"), F.array().cast("array<string>").alias("headings"), T.keyword_hits(F.col("text"), [KEYWORD]).alias("keyword_hits"))
@@ -189,7 +189,7 @@ def benchmark_contamination_hash(spark, sf_dir):
     return d.select("doc_id", T.content_hash(F.col("text")).alias("h")).join(b.select("item_id", T.content_hash(F.col("text")).alias("h")), "h").select("doc_id", "item_id")
 
 
-# ---------------------------------------------------------------- URLs
+# URLs
 @query(f"with {_CANON} select page_id, canonical from canon")
 def canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"))
@@ -284,7 +284,7 @@ def union_in_order(spark, sf_dir):
     return R.union_in_order([p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0")])
 
 
-# ---------------------------------------------------------------- extraction
+# extraction
 @query(
     rf"""with {_PARTS}, flat as (select page_id, s || '://' || host as site, generate_subscripts(h, 1) - 1 as pos, unnest(h) as href from (select *, regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\s*"([^"]*)"', 1) as h from parts) x)
     select page_id, link_url, min(pos) as pos from (select page_id, pos, site || case when length(href) > 1 then regexp_replace(href, '/$', '') else href end as link_url from flat where href like '/%') y group by 1, 2"""
@@ -307,7 +307,7 @@ def page_extract(spark, sf_dir):
     return X.extract(p, [KEYWORD]).select("data_id", "url", "keyword_hits", "content_hash", "text_snippet", "extracted_links_count", "domain")
 
 
-# ---------------------------------------------------------------- control plane
+# control plane
 _SLIDES = [(1, "Cover", False, "", []), (2, "Search trees", True, "examples are missing", ["tree", "balance"]), (3, "Hashing", True, "too short", ["hash"])]
 _SEEDS = [(0, "https://a.example/x/y/1.html"), (1, "https://b.example/x/y/2.html#top"), (2, "https://a.example/x/y/1.html?utm_source=q")]
 

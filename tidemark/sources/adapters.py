@@ -80,7 +80,7 @@ def search(spark: SparkSession, queries: DataFrame, searcher: Searcher, template
     return queries.select("keyword").mapInArrow(run, "keyword string, ord int, url string")
 
 
-def staged_search(search_span: Callable[[str], list[str]], spans: Iterable[str] = ("1m", "3m", "6m"), enough: int = 20) -> list[str]:
+def staged_search(search_span: Callable[[str], list[str]], spans: Iterable[str] = tuple("1m 3m 6m".split()), enough: int = 20) -> list[str]:
     """Results of widening time spans, until there are enough."""
     found: dict[str, None] = {}
     for span in spans:
