@@ -56,8 +56,7 @@ def plain_canonical(url):
     path = p.path or "/"
     while "//" in path:
         path = path.replace("//", "/")
-    if len(path) > 1 and path.endswith("/"):
-        path = path[:-1]
+    path = path.removesuffix("/") or "/"
     return f"{p.scheme}://{p.netloc}{path}" + (f"?{urlencode(pairs)}" if pairs else "")
 
 

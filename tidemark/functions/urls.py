@@ -174,7 +174,7 @@ def looks_like_article(url: Column) -> Column:
             F.when(x["u"].isNull() | (x["u"] == ""), False)
             .when(_media(p) | p.isin("", "/") | p.rlike("/index\\.(s?html|htm)$"), False)
             .when(p.rlike("node_|list_|channel_|column_|search|login|register") | listing, False)
-            .when(p.rlike("\\.(shtml|html|htm)$") | p.rlike("/20\\d{2}[-/]\\d{1,2}[-/]\\d{1,2}/|/20\\d{6}/"), True)
+            .when(p.rlike("\\.(shtml|html|htm)$") | p.rlike("/20\\d\\d[-/]\\d\\d?[-/]\\d\\d?/|/20\\d{6}/"), True)
             .otherwise(depth >= 2)
         )
 

@@ -64,7 +64,7 @@ _CANON = (
 )
 _ARTICLE = r"""case when regexp_matches(lower(path), '\.(webp|jpg|jpeg|png|gif|svg|pdf|doc|docx|mp4|mp3|zip|rar)$') or path in ('', '/') or regexp_matches(lower(path), '/index\.(s?html|htm)$') then false
     when regexp_matches(lower(path), 'node_|list_|channel_|column_|search|login|register') or regexp_matches(q, '(^|&)(utm_[^=&]*|spm|from|ref|source|share|page|p|pagesize)=.') then false
-    when regexp_matches(lower(path), '\.(shtml|html|htm)$') or regexp_matches(path, '/20\d{2}[-/]\d{1,2}[-/]\d{1,2}/|/20\d{6}/') then true
+    when regexp_matches(lower(path), '\.(shtml|html|htm)$') or regexp_matches(path, '/20\d\d[-/]\d\d?[-/]\d\d?/|/20\d{6}/') then true
     else length(regexp_replace(trim(path, '/'), '[^/]', '', 'g')) >= 2 end"""
 _DOMAIN = r"regexp_replace(lower(host), '^www\.', '')"
 _WEAK = r"""case when path not in ('', '/') and regexp_matches(regexp_replace(url, '#.*$', ''), '/$') then regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') else regexp_replace(url, '#.*$', '') end"""
@@ -348,3 +348,85 @@ def bfs_crawl(spark, sf_dir):
     seeds = spark.createDataFrame([(i, f"https://host{i % 7}.example/a/b/{i}.html") for i in range(12)], "ord int, url string")
     out = crawl(slots, seeds, replay_pages(spark, sf_dir), CrawlConfig(max_depth=5, max_pages=60, max_pages_per_domain=10, gate=GATE))
     return out.select("slot_id", "depth", "ord", "url", "decision", "expand", "method")
+
+
+@query(
+    """select * from (values (1, true, 0.5::double, 'ok'), (2, null, null, null), (3, false, null, 'no')) t(reply_id, keep_page, relevance_score, reasons)"""
+)
+def scorer_replies(spark, sf_dir):
+    from tidemark.schemas import REPLY
+
+    raw = [(1, 'Here: {"keep_page": true, "relevance_score": 0.5, "reasons": "ok"} done'), (2, "no json at all"), (3, '{"keep_page": false, "reasons": "no"}')]
+    r = spark.createDataFrame(raw, "reply_id int, reply string").select("reply_id", T.json_object(F.col("reply"), REPLY).alias("r"))
+    return r.select("reply_id", "r.keep_page", "r.relevance_score", "r.reasons")
+
+
+@query("select 3 as slides, 2 as to_process, 3::bigint as keywords")
+def slide_statistics(spark, sf_dir):
+    s = spark.createDataFrame(_SLIDES, "slide_number int, title string, should_optimize boolean, reason string, suggested_keywords array<string>")
+    return s.agg(F.count(F.lit(1)).cast("int").alias("slides"), F.count_if("should_optimize").cast("int").alias("to_process"), F.sum(F.size("suggested_keywords")).alias("keywords"))
+
+
+@query(r"select doc_id, regexp_matches(lower(text), '\bthe\b') as matches from documents")
+def keyword_match(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.keyword_match(F.col("text"), KEYWORD).alias("matches"))
+
+
+@query("select doc_id, lang || '||' || source as context from documents")
+def context_signature(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.context_signature(F.col("lang"), F.col("source")).alias("context"))
+
+
+@query(
+    rf"""with {_PARTS} select page_id, case when regexp_matches(lower(host), '\.(edu|ac\.uk|ac\.cn|edu\.cn|gov|gov\.cn|org)$') then 10 else 0 end
+    + case when regexp_matches(url, '/research|/publication|/course') then 3 else 0 end + case when regexp_matches(url, '/20\d{{2}}/') then 2 else 0 end as score from parts"""
+)
+def discovery_rank(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.discovery_rank(F.col("url")).alias("score"))
+
+
+@query(
+    rf"""with {_PARTS} select page_id, case when regexp_matches(lower(host), '\.(edu|ac\.uk|ac\.cn|edu\.cn|gov|gov\.cn|org)$') then 10 else 0 end + case page_id % 3 when 0 then 5 when 1 then 3 else 0 end as score from parts"""
+)
+def search_rank(spark, sf_dir):
+    kind = F.when(F.col("page_id") % 3 == 0, "official").when(F.col("page_id") % 3 == 1, "primary").otherwise("related")
+    return table(spark, sf_dir, "pages").select("page_id", C.search_rank(F.col("url"), kind).alias("score"))
+
+
+@query(rf"with {_PARTS} select s as scheme, count(*) as pages, count_if(regexp_matches(lower(host), '\.(edu|ac\.uk|ac\.cn|edu\.cn|gov|gov\.cn|org)$')) as educational from parts group by s")
+def educational_counts(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.groupBy(U.scheme(F.col("url")).alias("scheme")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(U.educational(F.col("url"))).alias("educational"))
+
+
+@query(f"with {_PARTS}, {_KIND} select page_id, s || '://' || host || '/' as entrance from parts where page_id in (select page_id from classes where kind = 'event_seed' and list_contains(reasons, 'feed_url'))")
+def feed_entrances(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").where(C.feed(F.col("url")))
+    return p.select("page_id", F.explode(C.entrances_of_feed(F.col("url"))).alias("entrance"))
+
+
+@query(f"with {_CANON} select distinct canonical from canon where canonical not in (select canonical from canon where page_id % 2 = 0)")
+def frontier_except(spark, sf_dir):
+    """Candidates that were neither queued nor visited: an anti join on the canonical URL."""
+    p = table(spark, sf_dir, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"))
+    return p.select("canonical").distinct().join(p.where("page_id % 2 = 0").select("canonical"), "canonical", "left_anti")
+
+
+@query("select page_id, md5(url) as data_id, page_id % 3 = 0 as success, case when page_id % 3 = 0 then null else 'no cached page' end as error from pages")
+def page_cache_lookup(spark, sf_dir):
+    from tidemark.sources.readers import cached
+
+    p = table(spark, sf_dir, "pages")
+    known = p.where("page_id % 3 = 0").select(F.md5("url").alias("data_id"), "html").dropDuplicates(["data_id"])
+    return cached(p.select("page_id", F.md5("url").alias("data_id")), known).select("page_id", "data_id", "success", "error")
+
+
+@query(
+    f"""with {_PARTS}, labelled as (select {_WEAK} as url, case when page_id % 2 = 0 then 'even' else 'odd' end as source from parts union all select {_WEAK}, 'third' from parts where page_id % 3 = 0)
+    select url, array_to_string(list_sort(list_distinct(list(source))), ',') as sources, count(*) as times from labelled group by url"""
+)
+def candidate_sources(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("url", U.without_fragment(F.col("url")))
+    labelled = p.select("url", F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("source")).unionByName(p.where("page_id % 3 = 0").select("url", F.lit("third").alias("source")))
+    counts = labelled.groupBy("url").agg(F.count(F.lit(1)).alias("times"))
+    return R.sources_of(labelled, ["url"]).join(counts, "url").select("url", F.array_join("sources", ",").alias("sources"), "times")
