@@ -33,7 +33,7 @@ def prose(rng, n, vocabulary=400):
 ODD = [(1, None), (2, ""), (3, "   \n\t "), (None, "some words without an id"), (4, "one"), (4, "one"), (5, "word " * 40_000), (6, "a" * 50_000)]
 
 
-# ------------------------------------------------------------------ helpers
+# helpers
 def test_slices_and_words():
     texts = ["a b  c", None, "", " x ", "y" * 100, "é ü"]
     batch = pa.RecordBatch.from_pydict({"t": pa.array(texts)})
@@ -46,7 +46,7 @@ def test_slices_and_words():
     assert (hash_strings(pa.array(["x", "a", "b"]).slice(1)) == h[:2]).all()
 
 
-# ------------------------------------------------------------------ 1 mixing
+# 1 mixing
 def test_flow_costs_least():
     rng = random.Random(3)
     for it in range(60):
@@ -103,7 +103,7 @@ def test_mixing_edges(spark):
     assert [r.repetition for r in sorted(capped, key=lambda r: r.repetition)] == [1, 2, 3, 4]
 
 
-# ------------------------------------------------------------------ 2 suffix repetition
+# 2 suffix repetition
 def brute_repetition(w, least):
     n, covered, best = len(w), set(), 0
     for i in range(n):
@@ -132,7 +132,7 @@ def test_suffix_repetition(spark):
     assert suffix_repetition.score(docs_of(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 3 toxicity
+# 3 toxicity
 def test_toxicity(spark):
     texts = {
         "you are an idiot": True,
@@ -179,7 +179,7 @@ def test_toxic_labels(spark):
     assert len(flagged) / sum(r.toxic for r in said) > 0.85
 
 
-# ------------------------------------------------------------------ 4 licenses
+# 4 licenses
 def brute_licenses(text, templates):
     norm = lambda t: re.sub(r"[\W_]+", " ", t.lower()).split()
     w, found = norm(text), set()
@@ -219,7 +219,7 @@ def test_license_with_changes(spark):
     assert license_scan.scan(docs_of(spark, ODD)).count() == 0 and license_scan.scan(docs_of(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 5 Jaccard join
+# 5 Jaccard join
 def gram_set(text, n):
     w = [(re.sub(r"^[\W_]+|[\W_]+$", "", x).lower() or x) for x in (text or "").split()]
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
@@ -284,7 +284,7 @@ def test_groups(spark):
     assert jaccard_join.join(docs_of(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 6 BPE
+# 6 BPE
 @pytest.fixture(scope="module")
 def codec():
     return bpe_codec.Codec(open(bpe_codec.VOCABULARY, "rb").read())
@@ -312,7 +312,7 @@ def test_bpe(spark, codec):
     assert bpe_codec.encode(docs_of(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 7 neighbours
+# 7 neighbours
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 32))
@@ -342,7 +342,7 @@ def test_neighbours_edges(spark):
     assert hash_neighbours.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-# ------------------------------------------------------------------ 8 classifier
+# 8 classifier
 def test_classifier(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     held = labels.where("doc_id % 3 = 0")
@@ -368,7 +368,7 @@ def test_classifier_needs_both_classes(spark):
     assert not weights.any() and bias == 0
 
 
-# ------------------------------------------------------------------ 9 substring dedup
+# 9 substring dedup
 def brute_intervals(rows, window):
     at = defaultdict(set)
     for i, t in rows:
@@ -417,7 +417,7 @@ def test_remove(spark):
     assert {r.doc_id for r in odd} == {5}
 
 
-# ------------------------------------------------------------------ 10 URLs
+# 10 URLs
 def test_url_model(spark):
     import duckdb
 

@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import as_text, slices
+from tidemark.llm.tables import text_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a part. Longer texts are cut.
-PART = 16384
+PART = 16000
 #: Bytes of an unsplit run that are encoded at once.
 RUN = 1024
 #: Pre-tokens before a cut that may change with what follows it.
@@ -48,6 +49,7 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern)
+        self.kind = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.fits = lru_cache(1 << 16)(self._fits)
         self.short_run = lru_cache(1 << 17)(self._short_run)
@@ -156,6 +158,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    text_batches(docs.sparkSession)
+    small = np.uint16 if part * 4 < 1 << 16 else np.uint32  # a run has at most as many tokens as bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +180,10 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
         c = codec(shared.value, pattern)
         for b in slices(batches, 3):
             done = [c.part(t) for t in b.column(3).to_pylist()]
-            lengths = pa.array([np.array([len(p) for p in e.pieces], np.int32) for e in done], pa.list_(pa.int32()))
-            counts = pa.array([np.array([len(t) for t in e.tokens], np.int32) for e in done], pa.list_(pa.int32()))
-            ids = pa.array([np.array([x for t in e.tokens for x in t], np.int32) for e in done], pa.list_(pa.int32()))
+            packed = lambda rows, kind: pa.array([np.array(r, kind).tobytes() for r in rows], pa.binary())
+            lengths = packed(([len(p) for p in e.pieces] for e in done), small)
+            counts = packed(([len(t) for t in e.tokens] for e in done), small)
+            ids = packed(([x for t in e.tokens for x in t] for e in done), c.kind)
             yield pa.RecordBatch.from_arrays([*b.columns, lengths, counts, ids], ["doc_id", "same", "k", "text", "lengths", "counts", "ids"])
 
     def concatenate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +196,10 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                     if p["k"] == seen:
                         continue
                     seen = p["k"]
-                    ends, stops = np.cumsum(p["lengths"]), np.cumsum(p["counts"])
-                    pieces = [p["text"][e - n : e] for e, n in zip(ends.tolist(), p["lengths"])]
-                    parts.append(Encoded(p["text"], pieces, [tuple(p["ids"][e - n : e]) for e, n in zip(stops.tolist(), p["counts"])]))
+                    lengths, counts = (np.frombuffer(p[x], small).astype(np.int64) for x in ("lengths", "counts"))
+                    ids = np.frombuffer(p["ids"], c.kind).tolist()
+                    pieces = [p["text"][e - n : e] for e, n in zip(np.cumsum(lengths).tolist(), lengths.tolist())]
+                    parts.append(Encoded(p["text"], pieces, [tuple(ids[e - n : e]) for e, n in zip(np.cumsum(counts).tolist(), counts.tolist())]))
                 whole = "".join(p.text for p in parts)
                 tokens = np.array(c.concatenate(parts), np.int32)
                 ok = c.decode(tokens.tolist()) == whole.encode()
@@ -204,7 +210,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
     parts = (
         long_texts.mapInArrow(cut, "doc_id long, same string, k int, text string")
         .repartition("doc_id", "same", "k")
-        .mapInArrow(encode_parts, "doc_id long, same string, k int, text string, lengths array<int>, counts array<int>, ids array<int>")
+        .mapInArrow(encode_parts, "doc_id long, same string, k int, text string, lengths binary, counts binary, ids binary")
     )
     joined = (
         parts.groupBy("doc_id", "same")

@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import Words, as_text, ngrams, slices, words
+from tidemark.llm.tables import text_batches
 
 GRAM = 3
 GAP = 3
@@ -94,6 +95,7 @@ def common_subsequence(a: list, b: list) -> int:
 def candidates(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, template, from_word, to_word, votes: merged diagonals with enough votes."""
     spark = docs.sparkSession
+    text_batches(spark)
     grams = spark.createDataFrame(template_grams(templates), "template string, tpos int, gram long, size int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     votes = (

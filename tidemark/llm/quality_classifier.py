@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import U64, hash_strings, mix, segment_sum, slices, words
+from tidemark.llm.tables import text_batches
 
 BITS = 18
 SCALE = 16.0
@@ -130,6 +131,7 @@ def _probabilities(column: pa.Array, weights: np.ndarray, bias: float) -> np.nda
 def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, quality_score (probability of good quality), keep (score >= threshold), for each row of docs."""
     shared = spark.sparkContext.broadcast(model)
+    text_batches(spark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
@@ -143,6 +145,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float],
 def keep(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold; no shuffle."""
     shared = spark.sparkContext.broadcast(model)
+    text_batches(spark)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import U64, mix, powers, slices, words
+from tidemark.llm.tables import text_batches
 
 WINDOW = 50
 GRAM = 8
@@ -116,6 +117,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
 
     removed is false for the intervals made of the kept (first) occurrences, true for those to take out.
     """
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     by_anchor, by_window = W.partitionBy("anchor"), W.partitionBy("anchor", "hash")
     at = F.struct("doc_id", "start")

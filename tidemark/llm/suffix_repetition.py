@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import slices, words
+from tidemark.llm.tables import text_batches
 
 MIN_WORDS = 16
 MAX_COVERED = 0.2
@@ -110,6 +111,7 @@ def score(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_
                 ["doc_id", "words", "repeated_words", "covered_fraction", "longest_repeat", "keep"],
             )
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 

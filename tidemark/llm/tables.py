@@ -1,5 +1,30 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and the size of Arrow batches."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
 
 from tidemark.tables import shared_folder, written
 
-__all__ = ["shared_folder", "written"]
+__all__ = ["narrow_batches", "shared_folder", "text_batches", "written"]
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches for rows that hold whole texts, unless the session has a size of its own."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(rows))
+
+
+@contextmanager
+def narrow_batches(spark: SparkSession, rows: int = 10_000) -> Iterator[None]:
+    """Larger Arrow batches for an action over rows of a few numbers."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)

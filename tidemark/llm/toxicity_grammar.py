@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import as_text, slices, words
+from tidemark.llm.tables import text_batches
 
 THRESHOLD = 1.0
 REACH = 3
@@ -201,6 +202,7 @@ def score(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             total, clauses, most = score_texts(b.column(1), table)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total), pa.array(clauses), pa.array(most), pa.array(total >= threshold)], ["doc_id", "toxicity", "clauses", "highest", "toxic"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, toxicity double, clauses int, highest double, toxic boolean")
 
 
