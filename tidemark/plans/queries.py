@@ -15,6 +15,7 @@ from tidemark.operators import rank as R
 from tidemark.operators import recall
 from tidemark.operators.frontier import CrawlConfig, crawl
 from tidemark.operators.gate import GateConfig, gate
+from tidemark.tables import written
 
 KEYWORD = "the"
 GATE = GateConfig(keywords=(KEYWORD,))
@@ -346,7 +347,7 @@ def bfs_crawl(spark, sf_dir):
     """Budgeted breadth-first crawl over replayed pages; ordered budgets and dedup aren't SQL."""
     slots = spark.createDataFrame([(1,), (2,)], "slot_id long")
     seeds = spark.createDataFrame([(i, f"https://host{i % 7}.example/a/b/{i}.html") for i in range(12)], "ord int, url string")
-    out = crawl(slots, seeds, replay_pages(spark, sf_dir), CrawlConfig(max_depth=5, max_pages=60, max_pages_per_domain=10, gate=GATE))
+    out = crawl(slots, seeds, written(replay_pages(spark, sf_dir), "replay"), CrawlConfig(max_depth=5, max_pages=60, max_pages_per_domain=10, gate=GATE))
     return out.select("slot_id", "depth", "ord", "url", "decision", "expand", "method")
 
 
