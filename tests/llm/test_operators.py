@@ -254,7 +254,7 @@ def near_copies(rng, count, families, words_=60):
 def test_jaccard_join(spark, tau, n, small, block):
     rng = random.Random(5)
     rows = near_copies(rng, 25, 4) + near_copies(rng, 3, 10, 12)
-    rows = [(k, t) for k, (_, t) in enumerate(rows)] + [(900, "solo"), (901, "Solo!"), (902, "two words"), (903, "two words"), (5, rows[5][1]), (904, None), (905, ""), (906, ""), (None, rows[0][1])]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)] + [(900, "solo"), (901, "Solo!"), (902, "two words"), (903, "two words"), (5, rows[5][1]), (7, rows[7][1] + " " + prose(rng, 200)), (904, None), (905, ""), (906, ""), (None, rows[0][1])]
     got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.join(docs_of(spark, rows), tau, n, small=small, block=block).collect()}
     assert got == brute_pairs(rows, tau, n)
 
