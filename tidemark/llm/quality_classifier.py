@@ -98,6 +98,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
 
     Only the sampled doc_ids (a fixed number) are broadcast; one task runs the sequential fit on the texts it gets.
     """
+    text_batches(spark)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
     picked = None

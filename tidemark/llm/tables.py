@@ -13,7 +13,7 @@ __all__ = ["narrow_batches", "shared_folder", "text_batches", "written"]
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Smaller Arrow batches for rows that hold whole texts, unless the session has a size of its own."""
     if spark.conf.get(_ROWS) == "10000":
         spark.conf.set(_ROWS, str(rows))
