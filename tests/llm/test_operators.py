@@ -179,6 +179,29 @@ def test_toxic_labels(spark):
     assert len(flagged) / sum(r.toxic for r in said) > 0.85
 
 
+def test_toxic_labels_of_all_languages(spark):
+    d, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    learnt = toxicity_grammar.learn(d, labels.where("doc_id % 2 = 0"))
+    odd = d.join(labels.where("doc_id % 2 = 1"), "doc_id", "left_semi")
+    said = toxicity_grammar.score(odd, learnt=learnt).withColumnRenamed("toxic", "said").join(labels, "doc_id").join(odd.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("en", "fr", "de", "es"):
+        of = [r for r in said if r.lang == lang]
+        flagged = [r for r in of if r.said]
+        assert sum(r.toxic for r in flagged) > 0.95 * len(flagged)
+        assert sum(r.toxic for r in flagged) > 0.65 * sum(r.toxic for r in of)
+
+
+def test_toxic_labels_learnt(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40) + (" nurgsal nurgsen nurgsik" if i % 4 == 0 else " nurg" if i % 4 == 1 else "")) for i in range(200)]
+    labels = spark.createDataFrame([*((i, int(i % 4 == 0)) for i, _ in rows), (None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
+    docs = docs_of(spark, rows)
+    learnt = toxicity_grammar.learn(docs, labels)
+    assert {"nurgsal$", "nurgs"} <= learnt and all(x.startswith("nurg") for x in learnt)
+    assert {r.doc_id for r in toxicity_grammar.score(docs, learnt=learnt).collect() if r.toxic} == {i for i, _ in rows if i % 4 == 0}
+    assert toxicity_grammar.learn(docs, labels.where("toxic = 1")) == toxicity_grammar.learn(docs, labels.where("false")) == toxicity_grammar.learn(docs_of(spark, []), labels) == frozenset()
+
+
 # 4 licenses
 def brute_licenses(text, templates):
     norm = lambda t: re.sub(r"[\W_]+", " ", t.lower()).split()
