@@ -357,6 +357,30 @@ def test_neighbours(spark):
     assert all({r.neighbour for r in small if r.vec_id == i} == set(t[i].tolist()) for i in range(120))
 
 
+def nearest(ids, x, k=10):
+    """The k best ids of each id, by its best pair of vectors, ties by id."""
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    best = defaultdict(lambda: -2.0)
+    s = np.round(u @ u.T, 6)
+    for a, i in enumerate(ids):
+        for b, j in enumerate(ids):
+            if i != j:
+                best[i, j] = max(best[i, j], s[a, b])
+    return {i: [j for _, j in sorted((-best[i, j], j) for j in set(ids) if j != i)[:k]] for i in set(ids)}
+
+
+def test_neighbours_repeated(spark):
+    rng = np.random.default_rng(4)
+    x, ids = rng.normal(size=(160, 32)).astype(np.float32), [*range(40)] * 4
+    x[40:80] = x[:40] + 0.001 * x[40:80]  # several vectors of an id, close together
+    x[80:] = np.tile(x[:40], (2, 1))  # repeated rows
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)]
+    got = defaultdict(list)
+    for r in hash_neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), radius=32).orderBy("vec_id", "rank").collect():
+        got[r.vec_id].append(r.neighbour)
+    assert got == nearest(ids, x)
+
+
 def test_neighbours_edges(spark):
     v = [1.0, 2.0, 3.0, 4.0, 5.0]
     rows = [(1, v), (2, v), (2, v), (3, [5.0, 4.0, 3.0, 2.0, 1.0]), (4, None), (5, []), (6, [0.0] * 5), (7, [1.0, float("nan"), 0.0, 0.0, 0.0]), (8, [1.0, 2.0]), (None, v), (9, [1.0, None, 1.0, 1.0, 1.0])]
