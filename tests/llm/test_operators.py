@@ -381,6 +381,14 @@ def test_neighbours_repeated(spark):
     assert got == nearest(ids, x)
 
 
+def test_neighbours_isolated(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(20, 32)).repeat(30, axis=0) + 0.01 * rng.normal(size=(600, 32)), rng.normal(size=(15, 32))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = hash_neighbours.neighbours(df, radius=2).groupBy("vec_id").count().collect()
+    assert {r.vec_id: r["count"] for r in got} == {i: 10 for i in range(len(x))}
+
+
 def test_neighbours_edges(spark):
     v = [1.0, 2.0, 3.0, 4.0, 5.0]
     rows = [(1, v), (2, v), (2, v), (3, [5.0, 4.0, 3.0, 2.0, 1.0]), (4, None), (5, []), (6, [0.0] * 5), (7, [1.0, float("nan"), 0.0, 0.0, 0.0]), (8, [1.0, 2.0]), (None, v), (9, [1.0, None, 1.0, 1.0, 1.0])]
