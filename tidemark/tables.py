@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,17 +24,46 @@ _paths: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors.
+
+    The table stays until it is dropped, cleared, or the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _paths:
+        atexit.register(_at_exit, spark)
     _paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read again; other DataFrames are left alone."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path in _paths:
+            _paths.remove(path)
+            _delete(t.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> int:
     """Delete all tables that this process has written so far; results that still read them must be saved before."""
     n = 0
     while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        n += _delete(spark, _paths.pop())
     return n
+
+
+def _at_exit(spark: SparkSession) -> None:
+    """What is left goes with the driver, if its session still runs."""
+    try:
+        clear(spark)
+    except Exception:  # the session has ended: there is nobody left to tell
+        _paths.clear()
