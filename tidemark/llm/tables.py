@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-from tidemark.tables import shared_folder, written
+from tidemark.tables import dropped, shared_folder, written
 
-__all__ = ["narrow_batches", "shared_folder", "text_batches", "written"]
+__all__ = ["dropped", "fresh", "narrow_batches", "shared_folder", "text_batches", "written"]
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Smaller Arrow batches for rows that hold whole texts, unless the session has a size of its own."""
-    if spark.conf.get(_ROWS) == "10000":
+    """Smaller Arrow batches for rows that hold whole texts, unless the session was given a size (10000 too).
+
+    The size is read when a result is computed, so it stays set in the session; unset it by spark.conf.unset.
+    """
+    if _ROWS not in spark.conf.getAll:
         spark.conf.set(_ROWS, str(rows))
 
 
@@ -28,3 +31,14 @@ def narrow_batches(spark: SparkSession, rows: int = 10_000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(_ROWS, before)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with marks in front where a table has a column of that name already (in any case)."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
