@@ -7,9 +7,11 @@ text's n-grams times SCALE; the score is the sparse dot product with the learned
 
 Defined results: a null or empty text has no features, its probability is that of the bias alone; rows are scored
 one by one, so repeated rows get equal results and ties don't arise; an empty table gives an empty result; labels
-that are null or not 0/1, and labels without a document, are left out of the fit; without labels of both classes
-the fit is refused with ValueError unless the table is empty, in which case all weights are 0; other columns of
-the input are never read by ``score`` and pass unchanged through ``keep``.
+that are null or not 0/1, and labels without a document, are left out of the fit, a doc_id with both labels counts as
+bad; rows that share a doc_id take part each, in the order of their texts; without labelled documents of both classes
+the fit is refused with ValueError (a model that has learnt nothing would pass everything) unless the table is empty,
+in which case all weights are 0; other columns of the input are never read by ``score`` and pass unchanged through
+``keep``.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ FIT_ROWS = 6000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 THRESHOLD = 0.5
-MODEL_SCHEMA = "weights binary, bias double, rows long"
+MODEL_SCHEMA = "weights binary, bias double, classes long"
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,28 +101,31 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
     Only the sampled doc_ids (a fixed number) are broadcast; one task runs the sequential fit on the texts it gets.
     """
     text_batches(spark)
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y")).where("_id is not null and _y in (0, 1)")
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
     picked = None
     for y in (0, 1):
         part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
         picked = part if picked is None else picked.unionAll(part)
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(picked), "_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).join(F.broadcast(picked), "_id")
 
     def one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in slices(batches, 1):
             at, offsets = features(b.column(1))
-            for k, (i, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
-                rows.append((i, y, at[offsets[k] : offsets[k + 1]].astype(np.int32)))
-        order = np.argsort(np.array([r[0] * 0x9E3779B97F4A7C15 % 2**64 for r in rows], U64), kind="stable") if rows else []
-        w, bias = train([(rows[k][2], rows[k][1]) for k in order])
-        yield pa.RecordBatch.from_pydict({"weights": pa.array([w.tobytes()], pa.binary()), "bias": [bias], "rows": [len({y for _, y, _ in rows})]})
-
-    got = texts.select("_id", "_text", "_y").repartition(1).mapInArrow(one, MODEL_SCHEMA).collect()[0]
-    if got["rows"] == 1:
-        raise ValueError("the labels are all of one class")
-    return np.frombuffer(got["weights"], np.float32), got["bias"]
+            for k, (i, y, digest) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
+                rows.append((i * 0x9E3779B97F4A7C15 % 2**64, i, digest or "", y, at[offsets[k] : offsets[k + 1]].astype(np.int32)))
+        rows.sort(key=lambda r: r[:3])
+        w, bias = train([(r[4], r[3]) for r in rows])
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([w.tobytes()], pa.binary()), "bias": [bias], "classes": [len({r[3] for r in rows})]})
+
+    got = texts.select("_id", "_text", "_y", F.md5("_text").alias("_digest")).repartition(1).mapInArrow(one, MODEL_SCHEMA).collect()
+    classes = got[0]["classes"] if got else 0  # an empty exchange has no task at all
+    if classes < 2:
+        if not docs.isEmpty():
+            raise ValueError("the labels are all of one class" if classes else "no document has a label")
+        return np.zeros(1 << BITS, np.float32), 0.0
+    return np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]
 
 
 def _probabilities(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
