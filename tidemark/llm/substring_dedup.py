@@ -8,6 +8,10 @@ anchor occurrence, and one row (anchor, doc_id, first window, packed hashes) car
 each. A run whose anchor occurs once holds no repeated window and goes no further; the others are unpacked and
 counted by (anchor, window hash) within the same partitioning.
 
+Anchors are counted first. Those of more than HEAVY runs, such as a notice in a large share of all documents, would
+each fill one task, so their windows are unpacked at once and counted by aggregates that combine before the shuffle;
+the counts are joined back by window, where AQE can split a skewed key. Both ways find the same intervals.
+
 Of the occurrences of a window, the one with the smallest (doc_id, position) is kept; the others are removed.
 Overlapping or touching windows of a document merge to intervals of word positions [start_word, end_word).
 
@@ -15,8 +19,8 @@ Defined results: null and empty texts, and texts of fewer than WINDOW words, hav
 take no part (``remove`` leaves them as they are); rows that share a doc_id are one document, so a repeated row
 isn't a repeat of itself; a text that repeats itself with a short period keeps its first window's occurrence, of
 which overlapping later windows take all but the first period; ties can't arise, since (doc_id, position) orders
-all occurrences; an empty table gives an empty result; ``remove`` passes all other columns and drops a row only if
-removal leaves it no word.
+all occurrences; an empty table gives an empty result; ``remove`` passes all other columns, whatever they are called,
+and drops a row only if removal leaves it no word. ``repeated_intervals`` runs one job at once, for the counts.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import U64, mix, powers, slices, words
-from tidemark.llm.tables import text_batches
+from tidemark.llm.tables import fresh, text_batches, written
 
 WINDOW = 50
 GRAM = 8
 BYTES = 6
+#: Most runs of an anchor that one task unpacks.
+HEAVY = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POSITION_BITS = 31
 RUNS = "anchor long, doc_id long, first int, packed binary"
@@ -57,8 +63,8 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def runs(column: pa.Array, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each run of windows with one anchor occurrence: anchor, text, first window's word, count; and all hashes."""
+def runs(column: pa.Array, window: int, gram: int, hashed: bool = True) -> tuple[np.ndarray, ...]:
+    """For each run of windows with one anchor occurrence: anchor, text, first window's word, count; and all hashes, if asked for."""
     w = words(column)
     none = np.empty(0, np.int64)
     if len(w.ids) < window:
@@ -70,11 +76,11 @@ def runs(column: pa.Array, window: int, gram: int) -> tuple[np.ndarray, ...]:
     g = mix(g)
     low = U64((1 << _POSITION_BITS) - 1)
     anchor = (sliding_min((g & ~low) | np.arange(len(g), dtype=U64), window - gram + 1) & low).astype(np.int64)
-    hashes = rabin_karp(h, window)
     doc = w.doc
-    at = np.arange(len(hashes))
+    at = np.arange(len(h) - window + 1)
     ok = doc[at] == doc[at + window - 1]
-    at, anchor, hashes = at[ok], anchor[ok], hashes[ok]
+    at, anchor = at[ok], anchor[ok]
+    hashes = rabin_karp(h, window)[ok] if hashed else none.astype(U64)
     new = np.flatnonzero(np.concatenate([[True], np.diff(anchor) != 0])) if len(at) else none
     return g[anchor[new]], doc[at[new]], at[new] - w.offsets[doc[at[new]]], np.diff(np.append(new, len(at))), hashes
 
@@ -112,26 +118,47 @@ def _intervals(window: int):
     return run
 
 
-def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def _anchors(window: int, gram: int):
+    """Anchors of the runs, added up within a task as far as a slice goes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 0):
+            anchor, n = np.unique(runs(b.column(0), window, gram, False)[0].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
+
+    return run
+
+
+def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """doc_id, start_word, end_word, removed: the maximal intervals of repeated windows of each document.
 
     removed is false for the intervals made of the kept (first) occurrences, true for those to take out.
     """
     text_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    counted = texts.select("text").mapInArrow(_anchors(window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    crowded = written(counted.where(F.col("n") > heavy).select("anchor"), "heavy-anchors")
+    any_crowded = not crowded.isEmpty()
+
+    all_runs, at = texts.mapInArrow(_map_runs(window, gram), RUNS), F.struct("doc_id", "start")
+    unpacked = F.posexplode(F.expr(f"transform(sequence(0, length(packed) div {BYTES} - 1), i -> substring(packed, i * {BYTES} + 1, {BYTES}))")).alias("k", "hash")
+    start = (F.col("first") + F.col("k")).alias("start")
+    light = all_runs.join(crowded, "anchor", "left_anti") if any_crowded else all_runs
     by_anchor, by_window = W.partitionBy("anchor"), W.partitionBy("anchor", "hash")
-    at = F.struct("doc_id", "start")
     met = (
-        texts.mapInArrow(_map_runs(window, gram), RUNS)
-        .withColumn("most", F.count(F.lit(1)).over(by_anchor))
+        light.withColumn("most", F.count(F.lit(1)).over(by_anchor))
         .where("most > 1")
-        .select("anchor", "doc_id", "first", F.posexplode(F.expr(f"transform(sequence(0, length(packed) div {BYTES} - 1), i -> substring(packed, i * {BYTES} + 1, {BYTES}))")).alias("k", "hash"))
-        .select("anchor", "hash", "doc_id", (F.col("first") + F.col("k")).alias("start"))
+        .select("anchor", "doc_id", "first", unpacked)
+        .select("anchor", "hash", "doc_id", start)
         .withColumn("least", F.min(at).over(by_window))
         .withColumn("most", F.max(at).over(by_window))
         .where("least != most")
         .select("anchor", "doc_id", "start", (F.col("least") != at).alias("removed"))
     )
+    if any_crowded:
+        windows = all_runs.join(crowded, "anchor", "left_semi").select("anchor", "doc_id", "first", unpacked).select("anchor", F.struct("anchor", "hash").alias("window"), "doc_id", start)
+        known = windows.groupBy("window").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least != most").select("window", "least")
+        met = met.unionAll(windows.join(known, "window").select("anchor", "doc_id", "start", (F.col("least") != at).alias("removed")))
     starts = met.groupBy("anchor", "doc_id", "removed").agg(F.collect_list("start").alias("s")).groupBy("doc_id", "removed").agg(F.flatten(F.collect_list("s")).alias("s"))
     return starts.select("doc_id", "removed", "s").mapInArrow(_intervals(window), "doc_id long, start_word int, end_word int, removed boolean")
 
@@ -160,9 +187,10 @@ def _cut(texts: list[str | None], spans: list[list[dict] | None]) -> list[str |
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs without the removed intervals; n_chars, if there, is counted anew. Columns as in docs."""
-    cuts = repeated_intervals(docs, window, gram).where("removed").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
-    joined = docs.join(cuts, docs["doc_id"].cast("long") == cuts["_cut_id"], "left").drop("_cut_id")
-    at, spans = joined.columns.index("text"), joined.columns.index("_cuts")
+    cut_id, spans_of = fresh(docs.columns, "cut_id", "cuts")
+    cuts = repeated_intervals(docs, window, gram).where("removed").groupBy(F.col("doc_id").alias(cut_id)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans_of))
+    joined = docs.join(cuts, docs["doc_id"].cast("long") == F.col(cut_id), "left").drop(cut_id)
+    at, spans = joined.columns.index("text"), joined.columns.index(spans_of)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
