@@ -46,6 +46,8 @@ STEM, LONGEST = 4, 10
 SUPPORT, SHARE, LIFT = 5, 0.02, 5
 OTHER, INSULT, THREAT, TARGET, NOT, SAYS, COMMA, END, HINT = range(9)
 SYMBOLS = 9
+#: Words whose symbols a task keeps before it starts anew.
+KNOWN_WORDS = 200_000
 
 INSULTS = """idiot idiots moron morons stupid scum loser losers trash worthless pathetic disgusting clown clowns imbecile
 imbeciles cretin dumbass dimwit halfwit lowlife degenerate vermin parasite subhuman bastard bastards asshole assholes
@@ -225,14 +227,17 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> froze
     return frozenset(r.part for r in rows)
 
 
-def score_texts(column: pa.Array, table: tuple[list[list[int]], list[list[float]]], learnt: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Toxicity, matched clauses and the highest clause of each text."""
+def score_texts(column: pa.Array, table: tuple[list[list[int]], list[list[float]]], learnt: frozenset[str] = frozenset(), known: dict[str, tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Toxicity, matched clauses and the highest clause of each text. known keeps the symbols of words met before."""
     w = words(pc.replace_substring(as_text(column), "\n", " \x1e "))
     texts = len(w.offsets) - 1
     total, clauses, most = np.zeros(texts), np.zeros(texts, np.int32), np.zeros(texts)
     if not len(w.ids):
         return total, clauses, most
-    of = np.array([symbols(x, learnt) for x in w.vocabulary.to_pylist()], np.int8)
+    known = {} if known is None else known
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    of = np.array([known.get(x) or known.setdefault(x, symbols(x, learnt)) for x in w.vocabulary.to_pylist()], np.int8)
     sym, mark = of[w.ids, 0], of[w.ids, 1]
     trigger = np.flatnonzero((sym == INSULT) | (sym == THREAT) | (sym == HINT))
     if not len(trigger):
@@ -269,8 +274,9 @@ def score(docs: DataFrame, threshold: float = THRESHOLD, learnt: frozenset[str]
     shared = docs.sparkSession.sparkContext.broadcast(learnt)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt, known = shared.value, {}
         for b in slices(batches, 1):
-            total, clauses, most = score_texts(b.column(1), table, shared.value)
+            total, clauses, most = score_texts(b.column(1), table, learnt, known)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total), pa.array(clauses), pa.array(most), pa.array(total >= threshold)], ["doc_id", "toxicity", "clauses", "highest", "toxic"])
 
     text_batches(docs.sparkSession)
