@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -38,6 +39,29 @@ def test_gate_scorer_sees_its_slice_only(spark):
     assert got["f"].method == "llm_fallback" and got["d"].method == "llm_zero_hits_fallback" and got["b"].method == "keyword_fast_pass"
 
 
+def test_gate_asks_each_page_once_and_keeps_failures(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def scorer(prompts):
+        with open(log, "a") as f:
+            f.writelines(re.search("URL: (.)", p)[1] + "\n" for p in prompts)
+        if any("URL: f" in p for p in prompts):
+            raise OSError("no line")
+        return [json.dumps({"keep_page": True, "relevance_score": 0.7})] * len(prompts)
+
+    rows = [("a", "short", 5), ("b", LONG, 7), ("c", LONG, 1), ("f", LONG, 2), ("d", LONG, 0)]
+    gated = G.gate(pages_of(spark, rows).coalesce(1), G.GateConfig(keywords=("k",)), scorer)
+    got = {r.url: r for r in gated.collect()}
+    assert gated.count() == 5
+    assert (got["f"].decision, got["f"].method, got["f"].reasons, got["f"].expand) == ("discard", "error", "Evaluation error: no line", False)
+    assert got["c"].method == "llm" and got["d"].method == "llm_zero_hits"
+    assert Counter(open(log).read().split()) == {"c": 2, "f": 2, "d": 2}  # the batch, and one by one as it failed
+    short = {r.url: r.reasons for r in G.gate(pages_of(spark, rows).coalesce(1), G.GateConfig(keywords=("k",)), lambda prompts: []).collect()}
+    assert short["c"] == "Evaluation error: 0 replies to 3 questions"
+    with pytest.raises(ValueError, match="headings"):
+        G.gate(pages_of(spark, rows).drop("headings"), G.GateConfig())
+
+
 def test_override(spark):
     g = G.gate(pages_of(spark, [("a", "short", 0), ("b", LONG, 9)]), G.GateConfig())
     c = spark.createDataFrame([("a", True, "keep", True, "high", "said so"), ("b", False, "discard", False, "low", "")], "url string, should_override boolean, decision string, expand boolean, priority string, reasons string")
@@ -61,7 +85,7 @@ def test_link_cap_and_block(spark):
 def test_html(spark):
     html = '<html><title>T</title><nav>menu <a href="/n">n</a></nav><h1>H</h1><p>one <b>two<script>var a="</p>"</script><a href=\'/x\' title=q>l</a><footer>f</footer><!-- c --></html>'
     row = X.parse_html(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "id").orderBy("id").collect()
-    assert (row[0].html_title, row[0].html_h1, row[0].html_text) == ("T", "H", "H one two l")
+    assert (row[0].html_title, row[0].html_h1, row[0].html_text) == ("T", "H", "T H one two l")
     assert [x.href for x in row[0].html_links] == ["/n", "/x"] and row[1].html_text == ""
 
 
@@ -72,6 +96,13 @@ def test_extract(spark):
     assert got["http://b.com/"].keyword_hits == 2 and got["http://c.com/"].main_content == "clean key"
 
 
+def test_extract_keeps_each_row_of_a_url(spark):
+    rows = [("http://a.com/p", "<p>one", "", "", ""), ("http://a.com/p", "<p>two", "", "", ""), ("http://a.com/p", None, None, None, None)]
+    got = X.extract(spark.createDataFrame(rows, "url string, html string, markdown string, clean_content string, title string"), ["two"])
+    assert sorted((r.main_content, r.keyword_hits) for r in got.collect()) == [("", 0), ("one", 0), ("two", 1)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_external_links_and_entrances(spark):
     wiki = '<h2>See</h2><a href="http://no.com/">n</a><h2><span>External links</span></h2><ul><a href="http://e.com/a#x">1</a><a href="https://en.wikipedia.org/w">w</a><a href="http://e.com/f.pdf">p</a></ul><h2>Other</h2><a href="http://z.com">z</a>'
     p = spark.createDataFrame([(1, wiki), (2, '<a class="external text" href="http://q.com/">q</a>')], "id int, html string")

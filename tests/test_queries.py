@@ -17,6 +17,10 @@ def sql():
     return con
 
 
+def test_every_query_has_sql():
+    assert set(Q.QUERIES) == set(Q.ORACLE_SQL)
+
+
 @pytest.mark.parametrize("name", list(Q.QUERIES))
 def test_query(spark, sql, name):
     df = Q.QUERIES[name](spark, SF)

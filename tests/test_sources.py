@@ -14,7 +14,7 @@ def test_slides_to_report(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps(deck, indent=1))
     slides = readers.slides(spark, str(tmp_path / "s.json"))
     slots = readers.slots(slides)
-    assert [(r.slot_id, r.keyword) for r in slots.orderBy("slot_id").collect()] == [(1000, "x"), (1001, "y")]
+    assert [(r.slot_id, r.keyword) for r in slots.orderBy("slot_id").collect()] == [(readers.SLOTS, "x"), (readers.SLOTS + 1, "y")]
     rows = slots.select("slide_number", "keyword", F.lit(1).alias("rank"), F.lit("u").alias("url"), F.lit("t").alias("title"), F.lit("s").alias("text_snippet"), F.lit(0.5).alias("relevance_score"), F.lit("why").alias("reasons"))
     report = sinks.nested_report(sinks.report_rows(rows), slides, "2024-01-01T00:00:00")
     sinks.write_report(report, str(tmp_path / "out"))
@@ -73,6 +73,44 @@ def test_adapters(spark):
     assert adapters.staged_search(lambda span: [span + str(i) for i in range(2)], enough=3) == ["1m0", "1m1", "3m0", "3m1"]
 
 
+def test_far_sides():
+    drawn = []
+
+    def chunks():
+        for k in range(100):
+            drawn.append(k)
+            yield "é".encode() * 5
+
+    assert adapters.body_of(chunks(), 25) == "é" * 12 and len(drawn) == 3  # no more is drawn than is wanted
+    assert adapters.body_of("ééé", 3) == "é" and adapters.body_of(None) == ""
+    for status, header, error in ((429, "12", 12.0), (429, "soon", None), (503, None, None)):
+        try:
+            adapters.raise_for(status, header)
+        except adapters.RetryLater as e:
+            assert e.seconds == error
+    adapters.raise_for(200)
+    calls, waits = [], []
+
+    def get(params):
+        calls.append(params["timespan"])
+        return [(500, {}, None), (429, {"Retry-After": "90"}, None), (200, {}, {"articles": [{"url": "http://a/b/#c"}, {}]})][len(calls) - 1]
+
+    assert adapters.article_search(get, "k", "1m", sleep=waits.append) == ["http://a/b"]
+    assert 1.5 <= waits[0] <= 2.5 and 22.5 <= waits[1] <= 37.5
+    calls.clear()
+    assert adapters.article_search(lambda p: (calls.append(p), (404, {}, None))[1], "k", sleep=waits.append) == [] and len(calls) == 1
+    cache = {"1m": ["a"]}
+    assert adapters.staged_search(lambda span: [span], enough=2, cache=cache) == ["a", "3m"] and cache == {"1m": ["a"], "3m": ["3m"]}
+
+
+def test_observed(spark):
+    from tidemark.operators.rank import observed
+
+    rows, o = observed(spark.range(10), F.col("id") < 7, F.lit(0.5))
+    assert rows.count() == 10
+    assert o.get == {"processed": 10, "success": 7, "failed": 3, "total_time": 5.0}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"the text {i % 5} " * 30) for i in range(20)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
@@ -95,6 +133,9 @@ def test_written_tables(spark):
     assert t.columns == ["id", "x"] and t.count() == 5
     path = tables._paths[-1]
     assert path.startswith(tables.shared_folder(spark))
+    other = tables.written(spark.range(3), "other")
+    tables.dropped(other, None, spark.range(1))
+    assert path in tables._paths and other._written_to not in tables._paths
     assert tables.clear(spark) >= 1
     import os
 

@@ -179,7 +179,7 @@ def rule_score(text: Column, keywords: Sequence[str], heads: Column | None = Non
 
 
 def json_object(reply: Column, schema: str) -> Column:
-    """The object between the first { and the last } of a reply; null if it isn't valid JSON."""
+    """The object between the first { and the last } of a reply; its fields are null if it isn't valid JSON."""
     inner = F.regexp_extract(reply, "(?s)\\{.*\\}", 0)
     return F.from_json(F.when(inner != "", inner).otherwise(reply), schema)
 

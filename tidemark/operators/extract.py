@@ -60,7 +60,6 @@ class PageParser(HTMLParser):
     def handle_data(self, data):
         if self._in_title:
             self.title += data
-            return
         if self._anchor is not None:
             self._anchor["text"] += data
         if self._heading:
@@ -79,24 +78,32 @@ class PageParser(HTMLParser):
         self._close_anchor()
 
 
-def parse_html(pages: DataFrame, key: str, html: str = "html", main_text: Callable[[str], str] | None = None) -> DataFrame:
-    """key, html_title, html_h1, html_text, html_links, html_feeds, one row a page. main_text replaces the text extractor."""
+def with_parsed(pages: DataFrame, html: str = "html", main_text: Callable[[str], str] | None = None) -> DataFrame:
+    """pages with html_title, html_h1, html_text, html_links, html_feeds, row by row; no shuffle. main_text replaces the text extractor."""
+    at = pages.columns.index(html)
+    link = pa.list_(pa.struct([("href", pa.string()), ("text", pa.string()), ("title", pa.string())]))
+    kinds = (pa.string(),) * 3 + (link,) * 2
+    names = "html_title html_h1 html_text html_links html_feeds".split()
+
+    def parsed(source: str | None) -> tuple:
+        p = PageParser()
+        p.feed(source or "")
+        p.close()
+        return p.title.strip(), p.h1.strip(), main_text(source or "") if main_text else " ".join(p.words), p.links, p.feeds
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for source in b.column(1).to_pylist():
-                p = PageParser()
-                p.feed(source or "")
-                p.close()
-                body = main_text(source or "") if main_text else " ".join(p.words)
-                out.append((p.title.strip(), p.h1.strip(), body, p.links, p.feeds))
-            link = pa.list_(pa.struct([("href", pa.string()), ("text", pa.string()), ("title", pa.string())]))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(columns, (pa.string(),) * 3 + (link,) * 2))], [key, "html_title", "html_h1", "html_text", "html_links", "html_feeds"])
+            rows = [parsed(x) for x in b.column(at).to_pylist()]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(list(c), t) for c, t in zip(columns, kinds))], [*b.schema.names, *names])
+
+    kinds_of = [F.lit(None).cast(t).alias(n) for n, t in zip(names, ["string"] * 3 + [LINKS] * 2)]
+    return pages.mapInArrow(run, pages.select("*", *kinds_of).schema)
 
-    kind = dict(pages.dtypes)[key]
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, html_title string, html_h1 string, html_text string, html_links {LINKS}, html_feeds {LINKS}")
+
+def parse_html(pages: DataFrame, key: str, html: str = "html", main_text: Callable[[str], str] | None = None) -> DataFrame:
+    """key, html_title, html_h1, html_text, html_links, html_feeds, one row a page."""
+    return with_parsed(pages.select(key, html), html, main_text).drop(html)
 
 
 def hrefs(html: Column) -> Column:
@@ -136,11 +143,10 @@ def first_links(pages: DataFrame, key: str, url: str, links: str) -> DataFrame:
 def extract(pages: DataFrame, keywords: Sequence[str], allow: Sequence[str] = (), block: Sequence[str] = (), snippet: int = 500, cap: int = 10_000, main_text: Callable[[str], str] | None = None) -> DataFrame:
     """The extracted-page row for each raw page (url, html, markdown, clean_content, title).
 
-    clean_content wins if there is any; else the Markdown's main text; else the visible text of the HTML.
+    clean_content wins if there is any; else the Markdown's main text; else the visible text of the HTML. Each row is
+    extracted by itself, so rows of one URL with different contents keep their own.
     """
-    p = pages.withColumn("data_id", F.md5("url"))
-    parsed = parse_html(p.dropDuplicates(["data_id"]), "data_id", "html", main_text)
-    p = p.join(parsed, "data_id", "left")
+    p = with_parsed(pages.select("url", "html", "markdown", "clean_content", "title", F.md5("url").alias("data_id")), "html", main_text)
     some = lambda c: c.isNotNull() & (c != "")
     body = F.when(some(F.col("clean_content")), F.col("clean_content")).when(some(F.col("markdown")), T.markdown_main_content(F.col("markdown"), cap)).otherwise(F.substring("html_text", 1, cap))
     none = F.array().cast("array<struct<url: string, text: string, title: string>>")
@@ -164,22 +170,46 @@ def extract(pages: DataFrame, keywords: Sequence[str], allow: Sequence[str] = ()
 def external_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, pos, url: links of an encyclopedia page to other sites, in order, first occurrence only.
 
-    Links of the section headed "External links" (or its Chinese name); if there are none, those marked class=external.
+    Links of the section headed "External links" (or its Chinese name); if there are none, those of the references
+    marked class=external; if there are none, all that are so marked.
     """
     section = "(?is)<h[2-3][^>]*>(?:(?!</h[2-3]>).)*(?:External links|外部链接|外部連結)(?:(?!</h[2-3]>).)*</h[2-3]>((?:(?!<h[2-3][ >]).)*)"
+    references = "(?is)(<ol\\s[^>]*class=\"[^\"]*\\breferences\\b.*?</ol>|<(?:span|sup|li|div)\\s[^>]*class=\"[^\"]*\\breference\\b[^\"]*\".*?</(?:span|sup|li|div)>)"
     href = "(?is)<a\\s[^>]*?href=\"([^\"]*)\""
-    marked = F.filter(F.regexp_extract_all(F.col(html), F.lit("(?is)(<a\\s[^>]*>)"), 1), lambda t: t.rlike("(?i)class=\"[^\"]*\\bexternal\\b"))
-    inside = F.filter(F.regexp_extract_all(F.regexp_extract(html, section, 1), F.lit(href), 1), U.external_candidate)
-    other = F.filter(F.transform(marked, lambda t: F.regexp_extract(t, href, 1)), U.external_candidate)
-    links = F.when(F.size(inside) > 0, inside).otherwise(other)
-    return pages.select(key, F.posexplode(F.array_distinct(F.transform(links, U.without_fragment))).alias("pos", "url"))
+
+    def marked(body: Column) -> Column:
+        tags = F.filter(F.regexp_extract_all(body, F.lit("(?is)(<a\\s[^>]*>)"), 1), lambda t: t.rlike("(?i)class=\"[^\"]*\\bexternal\\b"))
+        return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, href, 1)), lambda u: u != "")
+
+    inside = F.regexp_extract_all(F.regexp_extract(html, section, 1), F.lit(href), 1)
+    cited = marked(F.array_join(F.regexp_extract_all(F.col(html), F.lit(references), 1), " "))
+    links = F.when(F.size(inside) > 0, inside).when(F.size(cited) > 0, cited).otherwise(marked(F.col(html)))
+    own = F.transform(F.filter(F.transform(links, lambda u: F.trim(u)), U.external_candidate), U.without_fragment)
+    return pages.select(key, F.posexplode(F.array_distinct(own)).alias("pos", "url"))
+
+
+def search_page_links(html: Column, most: int = 10) -> Column:
+    """Result URLs of a search engine's page: links of class result__a, else links that hold "http"; redirects unwrapped."""
+    tags = F.regexp_extract_all(html, F.lit("(?is)(<a\\s[^>]*>)"), 1)
+    marked = F.filter(tags, lambda t: t.rlike("(?i)class\\s*=\\s*[\"'][^\"']*\\bresult__a\\b"))
+    href = lambda t: F.replace(F.regexp_extract(t, "(?i)href\\s*=\\s*[\"']([^\"']*)", 1), F.lit("&amp;"), F.lit("&"))
+    linked = lambda some: F.filter(F.transform(some, href), lambda u: u != "")
+    any_link = F.filter(linked(tags), lambda u: F.contains(u, F.lit("http")))
+    first = F.slice(F.when(F.size(linked(marked)) > 0, linked(marked)).otherwise(any_link), 1, most)
+    urls = F.transform(F.filter(first, lambda u: F.contains(u, F.lit("/l/?uddg=")) | F.startswith(u, F.lit("http"))), U.unwrap_redirect)
+    return F.array_distinct(urls)
+
+
+def extractable(html: Column, markdown: Column) -> Column:
+    """Whether there is anything to extract."""
+    return (F.coalesce(html, F.lit("")) != "") | (F.coalesce(markdown, F.lit("")) != "")
 
 
 def discovered_entrances(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
     """key, pos, entrance: feeds announced by a page, then anchors that look like entrances; first occurrences."""
     from tidemark.functions.classify import entrance_like
 
-    p = pages.select(key, F.col(url).alias("_base")).join(parse_html(pages, key, html), key)
+    p = with_parsed(pages.select(key, F.col(url).alias("_base"), html), html)
     near = lambda links: F.transform(links, lambda x: F.struct(U.join(F.col("_base"), x["href"]).alias("u"), x["text"].alias("rel"), x["title"].alias("kind")))
     feeds = F.filter(near(F.col("html_feeds")), lambda x: F.contains(x["rel"], F.lit("alternate")) & (x["kind"].rlike("rss|atom") | U.probable_feed(x["u"])))
     doors = F.filter(near(F.col("html_links")), lambda x: entrance_like(x["u"]))

@@ -1,22 +1,24 @@
 """Focused crawl as level-synchronous breadth-first search over DataFrames.
 
-Order within a slot is (level, order of the parent, position of the link): the order of a queue drained by one
-worker. Budgets count every processed page, fetched or not. All state is in written tables; the driver holds
-only row counts.
+Order within a slot is the path from a seed: the seed's place, then the position of each link followed. Paths of a
+level compare like the queue of one worker. Budgets count every processed page, fetched or not. All state is in
+written tables of a few narrow columns, one a level; texts are read once, when pages are judged, and once more at the
+end, for the pages that are returned. The driver holds only row counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
-from tidemark.operators.gate import GateConfig, gate
-from tidemark.tables import written
+from tidemark.operators.gate import VERDICT, GateConfig, gate
+from tidemark.tables import dropped, written
 
 
 @dataclass(frozen=True)
@@ -33,20 +35,29 @@ def seed_frontier(slots: DataFrame, seeds: DataFrame) -> DataFrame:
     return slots.select("slot_id").crossJoin(s).select("slot_id", "url", "ord")
 
 
-def within_budget(frontier: DataFrame, used: DataFrame | None, used_domains: DataFrame | None, config: CrawlConfig) -> DataFrame:
-    """The rows of frontier (slot_id, url, ord) that domain quotas and the page budget let through, in order."""
-    f = frontier.withColumn("domain", U.domain(F.col("url")))
-    f = f.join(used_domains, ["slot_id", "domain"], "left") if used_domains is not None else f.withColumn("in_domain", F.lit(0))
-    f = f.join(used, "slot_id", "left") if used is not None else f.withColumn("in_slot", F.lit(0))
-    by_domain = F.row_number().over(W.partitionBy("slot_id", "domain").orderBy("ord"))
-    f = f.withColumn("n", by_domain + F.coalesce("in_domain", F.lit(0))).where((F.col("n") <= config.max_pages_per_domain) | (F.col("domain") == ""))
-    by_slot = F.row_number().over(W.partitionBy("slot_id").orderBy("ord"))
-    return f.withColumn("n", by_slot + F.coalesce("in_slot", F.lit(0))).where(F.col("n") <= config.max_pages).select("slot_id", "url", "ord", "domain")
-
+def within_budget(frontier: DataFrame, done: DataFrame | None, config: CrawlConfig) -> DataFrame:
+    """The rows of frontier (slot_id, url, path) that domain quotas and the page budget let through, in order.
 
-def first_evaluations(pages: DataFrame, seen: DataFrame | None) -> DataFrame:
+    What was done before only lowers a budget, so each window first keeps the rows that the full budget allows: a
+    limit that Spark applies before it sorts or shuffles a slot's frontier.
+    """
+    f = frontier.withColumn("domain", U.domain(F.col("url")))
+    n = F.row_number().over(W.partitionBy("slot_id", "domain").orderBy("path"))
+    named = f.where("domain != ''").withColumn("n", n).where(F.col("n") <= config.max_pages_per_domain)
+    if done is not None:
+        used = done.groupBy("slot_id", "domain").agg(F.count(F.lit(1)).alias("used"))
+        named = named.join(used, ["slot_id", "domain"], "left").where(F.col("n") + F.coalesce("used", F.lit(0)) <= config.max_pages_per_domain)
+    f = named.select("slot_id", "url", "path", "domain").unionByName(f.where("domain = ''").select("slot_id", "url", "path", "domain"))
+    f = f.withColumn("n", F.row_number().over(W.partitionBy("slot_id").orderBy("path"))).where(F.col("n") <= config.max_pages)
+    if done is not None:
+        used = done.groupBy("slot_id").agg(F.count(F.lit(1)).alias("used"))
+        f = f.join(used, "slot_id", "left").where(F.col("n") + F.coalesce("used", F.lit(0)) <= config.max_pages)
+    return f.select("slot_id", "url", "path", "domain")
+
+
+def first_evaluations(pages: DataFrame, seen: DataFrame | None, order: str = "path") -> DataFrame:
     """Pages whose content wasn't evaluated before in their slot; pages without a hash always count."""
-    n = F.row_number().over(W.partitionBy("slot_id", "content_hash").orderBy("ord"))
+    n = F.row_number().over(W.partitionBy("slot_id", "content_hash").orderBy(order))
     p = pages.withColumn("_n", n).where((F.col("_n") == 1) | (F.col("content_hash") == "")).drop("_n")
     if seen is None:
         return p
@@ -55,28 +66,43 @@ def first_evaluations(pages: DataFrame, seen: DataFrame | None) -> DataFrame:
 
 
 def crawl(slots: DataFrame, seeds: DataFrame, pages: DataFrame, config: CrawlConfig, scorer: Callable | None = None) -> DataFrame:
-    """slot_id, ord, depth and the gate's result for every evaluated page.
+    """slot_id, ord (from 1, in the order of the crawl), depth, url, the page's columns and the gate's result for every evaluated page.
 
     pages is the replay source: url (canonical), success, title, main_content, headings, keyword_hits, content_hash,
-    text_snippet, extracted_links (array<struct<url, text, title>>). A live fetcher fills such a table first.
+    text_snippet, extracted_links (array<struct<url, text, title>>). A live fetcher fills such a table first. Without
+    a scorer a page's verdict is the same wherever it is reached, so all are judged by rules in one pass; a scorer is
+    asked level by level, about the pages that are reached and no others. Runs jobs at once.
     """
-    frontier, done, evaluated = seed_frontier(slots, seeds), None, None
+    known = pages.where("success")
+    kept = ["url", "content_hash", "extracted_links", *VERDICT]
+    judged = None if scorer else written(gate(known, config.gate).select(kept), "crawl-verdicts")
+    frontier = seed_frontier(slots, seeds).select("slot_id", "url", F.array("ord").alias("path"))
+    levels: list[DataFrame] = []
+    found: list[DataFrame] = []
     for depth in range(config.max_depth + 1):
-        used = done.groupBy("slot_id").agg(F.count(F.lit(1)).alias("in_slot")) if done is not None else None
-        used_domains = done.groupBy("slot_id", "domain").agg(F.count(F.lit(1)).alias("in_domain")) if done is not None else None
-        level = written(within_budget(frontier, used, used_domains, config), f"crawl-{depth}")
+        done = reduce(DataFrame.unionAll, [x.select("slot_id", "url", "domain") for x in levels]) if levels else None
+        seen = reduce(DataFrame.unionAll, [x.select("slot_id", "content_hash") for x in found]) if found else None
+        level = written(within_budget(frontier, done, config), f"crawl-{depth}")
         if level.isEmpty():
+            dropped(level)
             break
-        done = level if done is None else done.unionByName(level)
-        fetched = level.join(pages.where("success"), "url").withColumn("depth", F.lit(depth))
-        judged = written(gate(first_evaluations(fetched, evaluated), config.gate, scorer), f"judged-{depth}")
-        evaluated = judged if evaluated is None else evaluated.unionByName(judged)
+        levels.append(level)
+        if scorer is None:
+            verdicts = first_evaluations(level.join(judged, "url"), seen)
+        else:
+            verdicts = gate(first_evaluations(level.join(known, "url"), seen), config.gate, scorer)
+        found.append(written(verdicts.select("slot_id", "path", F.lit(depth).alias("depth"), *kept), f"crawl-found-{depth}"))
         if depth == config.max_depth:
             break
-        links = judged.where("expand").select("slot_id", F.col("ord").alias("parent"), F.posexplode("extracted_links").alias("pos", "link"), F.col("url").alias("_base"))
-        new = links.select("slot_id", "parent", "pos", U.canonical(F.col("link.url"), F.col("_base")).alias("url")).where(F.col("url").isNotNull() & U.looks_like_article(F.col("url")))
-        first = new.groupBy("slot_id", "url").agg(F.min(F.struct("parent", "pos")).alias("at")).join(done.select("slot_id", "url"), ["slot_id", "url"], "left_anti")
-        frontier = first.select("slot_id", "url", F.row_number().over(W.partitionBy("slot_id").orderBy("at")).cast("long").alias("ord"))
-    if evaluated is None:
+        links = found[-1].where("expand").select("slot_id", "path", F.posexplode("extracted_links").alias("pos", "link"), F.col("url").alias("_base"))
+        new = links.select("slot_id", F.concat("path", F.array(F.col("pos").cast("long"))).alias("path"), U.canonical(F.col("link.url"), F.col("_base")).alias("url"))
+        new = new.where(F.col("url").isNotNull() & U.looks_like_article(F.col("url"))).groupBy("slot_id", "url").agg(F.min("path").alias("path"))
+        for x in levels:
+            new = new.join(x.select("slot_id", "url"), ["slot_id", "url"], "left_anti")
+        frontier = new.select("slot_id", "url", "path")
+    dropped(judged)
+    if not found:
         raise ValueError("there is no seed within the budget")
-    return evaluated
+    light = reduce(DataFrame.unionAll, [x.drop("content_hash", "extracted_links") for x in found])
+    light = light.withColumn("ord", F.row_number().over(W.partitionBy("slot_id").orderBy("depth", "path"))).drop("path")
+    return light.join(known.select(*(c for c in pages.columns if c not in VERDICT)).dropDuplicates(["url"]), "url")

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.schemas import REPLY
+from tidemark.tables import written
+
+VERDICT = ("decision", "expand", "priority", "reasons", "relevance_score", "method")
+#: Columns without which a page can't be judged.
+REQUIRED = ("main_content", "keyword_hits", "headings")
 
 
 @dataclass(frozen=True)
@@ -84,23 +89,52 @@ def prompt(url: Column, title: Column, text: Column, heads: Column, hits: Column
 
 
 def ask(pages: DataFrame, scorer: Callable[[list[str]], list[str | None]], question: str = "_prompt") -> DataFrame:
-    """pages with a column _reply: the scorer's raw answers, batch by batch."""
+    """pages with columns _reply and _error: the scorer's raw answers, batch by batch.
+
+    If it raises on a batch, its questions are asked one by one; a question on which it raises again, or batches
+    with another number of answers than questions, have an error in place of a reply.
+    """
     at = pages.columns.index(question)
 
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            return scorer([text])[0], None
+        except Exception as e:
+            return None, str(e) or type(e).__name__
+
+    def answers(texts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            replies = list(scorer(texts))
+        except Exception:
+            return [one(t) for t in texts]
+        if len(replies) != len(texts):
+            return [(None, f"{len(replies)} replies to {len(texts)} questions")] * len(texts)
+        return [(r if r is None or isinstance(r, str) else str(r), None) for r in replies]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            answers = scorer(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], [*b.schema.names, "_reply"])
+            said = answers(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in said], pa.string()) for k in (0, 1))], [*b.schema.names, "_reply", "_error"])
 
-    return pages.mapInArrow(run, pages.select("*", F.lit(None).cast("string").alias("_reply")).schema)
+    none = F.lit(None).cast("string")
+    return pages.mapInArrow(run, pages.select("*", none.alias("_reply"), none.alias("_error")).schema)
+
+
+def can_gate(pages: DataFrame) -> bool:
+    """Whether the table has what the gate reads."""
+    return set(REQUIRED) <= set(pages.columns)
 
 
 def gate(pages: DataFrame, config: GateConfig, scorer: Callable[[list[str]], list[str | None]] | None = None, context: Column | None = None) -> DataFrame:
     """pages (main_content, headings, keyword_hits, ...) with decision, expand, priority, reasons, relevance_score, method.
 
     Without a scorer its tiers fall back on rules. With one, only the rows of those tiers reach it: they are split
-    off by a filter, asked, and united with the rest (a UDF under CASE WHEN would see all rows).
+    off by a filter, asked, and united with the rest (a UDF under CASE WHEN would see all rows). Replies are written
+    at once, so that no question is asked twice. Where the scorer fails the row is discarded by method "error"; a
+    reply that can't be read leaves the row to the rules.
     """
+    if not can_gate(pages):
+        raise ValueError("the gate needs the columns " + ", ".join(c for c in REQUIRED if c not in pages.columns))
     text, hits = F.col("main_content"), F.col("keyword_hits")
     p = pages.withColumn("_rule", T.rule_score(text, config.keywords, F.col("headings")))
     p = p.withColumn("_tier", _tiers(text, hits, F.col("_rule"), config))
@@ -110,7 +144,7 @@ def gate(pages: DataFrame, config: GateConfig, scorer: Callable[[list[str]], lis
         df = df.withColumns(_by_rules(F.col("_tier"), hits, n, F.col("_rule"), config))
         return df.withColumn("expand", should_expand(F.col("decision"), F.col("priority"), F.col("relevance_score"), config))
 
-    columns = [*pages.columns, "decision", "expand", "priority", "reasons", "relevance_score", "method"]
+    columns = [*(c for c in pages.columns if c not in VERDICT), *VERDICT]
     if scorer is None:
         return ruled(p).select(columns)
     asked = p.where(F.col("_tier").isin("llm", "llm_zero_hits"))
@@ -118,22 +152,24 @@ def gate(pages: DataFrame, config: GateConfig, scorer: Callable[[list[str]], lis
     title = F.col("title") if "title" in pages.columns else F.lit("")
     url = F.col("url") if "url" in pages.columns else F.lit("")
     asked = ask(asked.withColumn("_prompt", prompt(url, title, text, F.col("headings"), hits, links, config.keywords, context)), scorer)
-    r = T.json_object(F.col("_reply"), REPLY)
-    said = asked.withColumn("_r", r).withColumn("_ok", F.col("_r").isNotNull() & F.col("_r.keep_page").isNotNull())
-    fallback = ruled(said.where("not _ok")).select(columns)
-    score = F.coalesce(F.col("_r.relevance_score"), F.lit(0.0))
-    good = said.where("_ok").withColumns(
+    said = written(asked.withColumn("_r", T.json_object(F.col("_reply"), REPLY)).drop("_prompt", "_reply"), "gate-replies")
+    said = said.withColumn("_ok", F.col("_r").isNotNull() & F.col("_r.keep_page").isNotNull())
+    failed = said.where("_error is not null").withColumns(
+        {"decision": F.lit("discard"), "expand": F.lit(False), "priority": F.lit("low"), "reasons": F.concat(F.lit("Evaluation error: "), F.col("_error")), "relevance_score": F.lit(0.0), "method": F.lit("error")}
+    )
+    fallback = ruled(said.where("_error is null and not _ok"))
+    good = said.where("_error is null and _ok").withColumns(
         {
             "decision": F.when(F.col("_r.keep_page"), "keep").otherwise("discard"),
             "priority": F.coalesce(F.col("_r.priority"), F.when(F.col("_tier") == "llm", "medium").otherwise("low")),
-            "relevance_score": score,
+            "relevance_score": F.coalesce(F.col("_r.relevance_score"), F.lit(0.0)),
             "method": F.col("_tier"),
             "reasons": F.when(F.coalesce(F.col("_r.reasons"), F.lit("")) != "", F.col("_r.reasons")).otherwise(F.concat(F.lit("llm judged (rule_score="), F.format_string("%.2f", F.col("_rule")), F.lit(")"))),
         }
     )
-    good = good.withColumn("expand", F.coalesce(F.col("_r.expand_links"), F.lit(False)) | should_expand(F.col("decision"), F.col("priority"), F.col("relevance_score"), config)).select(columns)
-    rest = ruled(p.where(~F.col("_tier").isin("llm", "llm_zero_hits"))).select(columns)
-    return rest.unionByName(fallback).unionByName(good)
+    good = good.withColumn("expand", F.coalesce(F.col("_r.expand_links"), F.lit(False)) | should_expand(F.col("decision"), F.col("priority"), F.col("relevance_score"), config))
+    rest = ruled(p.where(~F.col("_tier").isin("llm", "llm_zero_hits")))
+    return rest.select(columns).unionByName(fallback.select(columns)).unionByName(good.select(columns)).unionByName(failed.select(columns))
 
 
 def override(gated: DataFrame, coordination: DataFrame, key: str) -> DataFrame:

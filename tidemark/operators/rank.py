@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -61,3 +61,25 @@ def run_statistics(pages: DataFrame, seconds: Column | float) -> DataFrame:
         F.count_distinct("content_hash").alias("unique_contents"),
         (n / F.greatest(F.lit(seconds).cast("double"), F.lit(1.0))).alias("pages_per_second"),
     )
+
+
+def step_metrics(success: Column, seconds: Column | float = 0.0) -> list[Column]:
+    """processed, success, failed, total_time of the rows of a step."""
+    ok, spent = F.coalesce(success, F.lit(False)), seconds if isinstance(seconds, Column) else F.lit(seconds)
+    return [
+        F.count(F.lit(1)).alias("processed"),
+        F.count_if(ok).alias("success"),
+        F.count_if(~ok).alias("failed"),
+        F.coalesce(F.sum(spent.cast("double")), F.lit(0.0)).alias("total_time"),
+    ]
+
+
+def observed(rows: DataFrame, success: Column, seconds: Column | float = 0.0) -> tuple[DataFrame, Observation]:
+    """rows unchanged, and the step's metrics, which are there once an action has gone over the rows."""
+    o = Observation()
+    return rows.observe(o, *step_metrics(success, seconds)), o
+
+
+def counts_by_source(candidates: DataFrame, by: Sequence[str] = ("keyword",), source: str = "source") -> DataFrame:
+    """by, source, candidates: distinct URLs that each source gave."""
+    return candidates.groupBy(*by, source).agg(F.count_distinct("url").alias("candidates"))

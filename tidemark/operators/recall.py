@@ -12,17 +12,28 @@ from tidemark.functions import text as T
 from tidemark.operators import rank as R
 from tidemark.tables import written
 
+#: What lies between words where \\b is Unicode-aware.
+WORD_EDGE = "(?U)\\W+"
 TRIMS = {"event_seed": 60, "anchor_seed": 40, "evidence": 20}
 
 
 def rss_matches(items: DataFrame, keywords: DataFrame, translations: Mapping[str, Sequence[str]]) -> DataFrame:
-    """keyword, url, ord of the feed items (title, summary, url, ord) that hold the keyword or a translation of it."""
-    words = keywords.select("keyword", F.explode(T.rss_keywords(F.col("keyword"), dict(translations))).alias("_w"))
-    body = F.concat_ws(" ", "title", "summary")
-    cjk = F.col("_w").rlike("[\\u4e00-\\u9fff]")
+    """keyword, url, ord of the feed items (title, summary, url, ord) that hold the keyword or a translation of it.
+
+    Items are joined to keywords by their words: the first word of a keyword has to be among an item's, which is an
+    equi-join; phrases and Chinese keywords, which have no bounds, are tested on what the join leaves.
+    """
+    cut = lambda text: F.filter(F.split(F.lower(text), WORD_EDGE), lambda w: w != "")
+    words = keywords.select("keyword", F.explode(T.rss_keywords(F.col("keyword"), dict(translations))).alias("_w")).where("_w != ''")
+    words = words.withColumn("_cjk", F.col("_w").rlike("[\\u4e00-\\u9fff]")).withColumn("_first", F.get(cut(F.col("_w")), F.lit(0)))
+    body = F.concat_ws(" ", "title", "summary").alias("_body")
+    texts = items.select("url", "ord", body).where("_body != ''")
     word = F.concat(F.lit("(?U)\\b"), F.regexp_replace(F.lower("_w"), "([^\\p{L}\\p{N}])", "\\\\$1"), F.lit("\\b"))
-    hit = F.when(cjk, F.contains(body, F.col("_w"))).otherwise(F.regexp_like(F.lower(body), word))
-    return items.join(words, hit).groupBy("keyword", "url").agg(F.min("ord").alias("ord"))
+    by_word = texts.withColumn("_first", F.explode(F.array_distinct(cut(F.col("_body"))))).join(words.where("not _cjk and _first is not null"), "_first")
+    spaced = by_word.where((F.lower("_w") == F.col("_first")) | F.regexp_like(F.lower("_body"), word)).select("keyword", "url", "ord")
+    loose = words.where("_cjk or _first is null")
+    rest = texts.join(loose, F.when(F.col("_cjk"), F.contains(F.col("_body"), F.col("_w"))).otherwise(F.regexp_like(F.lower("_body"), word))).select("keyword", "url", "ord")
+    return spaced.unionByName(rest).groupBy("keyword", "url").agg(F.min("ord").alias("ord"))
 
 
 def promote(candidates: DataFrame, by: Sequence[str] = ("keyword",), parents: int = 2) -> DataFrame:
