@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from tidemark.llm import jaccard_join, substring_dedup, url_language_model
 from tidemark.llm.bpe_codec import op6_bpe_codec
 from tidemark.llm.hash_neighbours import op7_hash_neighbours
@@ -30,7 +29,6 @@ QUERIES = {
         op10_url_language_model,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {
     "op5_jaccard_join": jaccard_join.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
