@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empties, ties, repeats, empty tables and extra columns."""
 
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from tidemark.llm import bpe_codec, groups, hash_neighbours, jaccard_join, licen
 from tidemark.llm.arrowtext import hash_strings, slices, words
 
 #: Columns that operators name themselves.
-CLASH = "keep boolean, tokens int, score double, label string, removed string, _text string, _id long"
+CLASH = "keep boolean, tokens int, score double, label string, removed string, _text string, _id long, cut_id int, cuts int, _cuts int, i int, copy int, n int, i2 int, copy2 int, served int, gone int, bucket int, begins int"
 
 
 def docs_of(spark, rows, extra=True):
@@ -23,7 +24,7 @@ def docs_of(spark, rows, extra=True):
     schema = "doc_id long, text string, source string, n_chars long"
     if not extra:
         return spark.createDataFrame(full, schema)
-    return spark.createDataFrame([(*r, None, 1, 0.5, "x", "y", None, 7) for r in full], f"{schema}, {CLASH}")
+    return spark.createDataFrame([(*r, None, 1, 0.5, "x", "y", None, 7, *range(12)) for r in full], f"{schema}, {CLASH}")
 
 
 def prose(rng, n, vocabulary=400):
@@ -99,8 +100,66 @@ def test_mixing_edges(spark):
     got = source_mixing.select(docs_of(spark, [(*r, None) if k % 2 else (*r, "s") for k, r in enumerate(ODD)])).collect()
     assert {r.doc_id for r in got} == {4, 5, 6}
     assert source_mixing.select(docs_of(spark, [])).count() == 0
-    capped = source_mixing.select(docs_of(spark, [(1, "a b", "x")]), budget=1000).collect()
+    capped = source_mixing.select(docs_of(spark, [(1, "a b", "x")]), budget=1000, repeats=4).collect()
     assert [r.repetition for r in sorted(capped, key=lambda r: r.repetition)] == [1, 2, 3, 4]
+    needed = source_mixing.select(docs_of(spark, [(1, "a b", "x")]), budget=1000).collect()
+    assert sorted(r.repetition for r in needed) == [*range(1, 501)]
+
+
+def walk(rows, flows, seed):
+    """Selections by walking each pattern's line, one token after another. rows: (doc_id, text, source)."""
+    pmod = lambda x, m: x % m
+    docs = {}
+    for i, t, s in rows:
+        d = docs.setdefault(t, [i, set(), len(t.split())])
+        d[0] = min(d[0], i)
+        d[1].add(s)
+    out = Counter()
+    for pattern, cuts in flows.items():
+        own = [d for d in docs.values() if tuple(sorted(d[1])) == pattern]
+        own.sort(key=lambda d: seed[d[0]])
+        ends, upto = [], 0
+        for s, tokens in cuts:
+            upto += tokens
+            ends.append((upto, s))
+        at, turn = 0, 1
+        while at < upto:
+            for d in own:
+                if at < upto:
+                    out[d[0], next(s for e, s in ends if at < e), turn] += 1
+                at += d[2]
+            turn += 1
+    return out
+
+
+def test_mixing_walks_each_line(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows = [(i, prose(rng, rng.randint(1, 30)), rng.choice("abc")) for i in range(120)]
+    rows += [(500 + i, rows[i][1], rng.choice("abc")) for i in range(60)]
+    d, weights = docs_of(spark, rows), {"a": 5, "b": 1, "c": 2}
+    key = d.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(source_mixing.SEED + 1)), F.lit(source_mixing.BUCKETS)), F.xxhash64(F.lit(source_mixing.SEED), "doc_id")).collect()
+    capacity = Counter()
+    members = defaultdict(set)
+    for _, t, s in rows:
+        members[t].add(s)
+    for t, s in members.items():
+        capacity[tuple(sorted(s))] += len(t.split())
+    got = Counter((r.doc_id, r.source, r.repetition) for r in source_mixing.select(d, weights, 9000).collect())
+    assert got == walk(rows, source_mixing.route(capacity, weights, 9000), {r[0]: r[1:] for r in key})
+
+
+def test_mixed_takes_each_selection_once(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "a b c", "y"), (2, "a b c", "z"), (3, "d e", None), (1, "another text", "x"), (None, "no id", "x"), (4, None, "x")]
+    d = docs_of(spark, rows)
+    for budget in (None, 60):
+        chosen, mixed = source_mixing.select(d, budget=budget).collect(), source_mixing.mixed(d, budget=budget)
+        assert mixed.columns == d.columns and mixed.dtypes == d.dtypes
+        got = mixed.collect()
+        assert Counter((r.doc_id, r.source) for r in got) == Counter((r.doc_id, r.source) for r in chosen)
+        assert {(r.doc_id, r.text) for r in got} == {(1, "a b c"), (3, "d e"), (1, "another text")}
+    assert source_mixing.mixed(docs_of(spark, [])).count() == 0
 
 
 # 2 suffix repetition
@@ -155,6 +214,55 @@ def test_toxicity(spark):
     assert toxicity_grammar.score(docs_of(spark, [])).count() == 0
 
 
+def sentence_by_sentence(text, learnt):
+    """Toxicity by plain loops over the words of each sentence."""
+    m = toxicity_grammar
+    names = {m.INSULT: "insult", m.THREAT: "threat", m.HINT: "hint"}
+    total = reach = 0
+    said = target = paid = False
+    owed = 0.0
+    for line in text.split("\n"):
+        for word in line.split():
+            s, mark = m.symbols(word, learnt)
+            if s == m.NOT:
+                reach = m.REACH
+            else:
+                kind = names.get(s)
+                if kind:
+                    kind = ("negated " if reach else "") + ("reported " if said else "") + kind
+                    bonus = m.ADDRESSED.get(kind, 0.0)
+                    total += m.WEIGHTS[kind]
+                    if bonus and not paid:
+                        if target:
+                            total, paid = total + bonus, True
+                        else:
+                            owed = max(owed, bonus)
+                elif s == m.TARGET:
+                    target = True
+                    if owed and not paid:
+                        total, paid = total + owed, True
+                said = said or s == m.SAYS
+                reach = max(0, reach - 1)
+            if mark == m.COMMA or mark == m.END:
+                reach = 0
+            if mark == m.END:
+                said = target = paid = False
+                owed = 0.0
+        reach, said, target, paid, owed = 0, False, False, False, 0.0
+    return round(total, 4)
+
+
+def test_toxicity_by_sentences(spark):
+    rng = random.Random(21)
+    pick = ["idiot", "moron!", "kill", "you", "They", "not", "don't", "said", "claims,", "zorbly", "zorbish.", "house", "the,", "tree.", "cat", "?!", "never", "him;"]
+    texts = [" ".join(rng.choice(pick) + ("\n" if rng.random() < 0.1 else "") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    learnt = frozenset({"zorb", "cats$"})
+    got = {r.doc_id: r for r in toxicity_grammar.score(docs_of(spark, list(enumerate(texts))), learnt=learnt).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].toxicity == pytest.approx(sentence_by_sentence(t, learnt)), t
+        assert got[i].toxic == (got[i].toxicity >= toxicity_grammar.THRESHOLD)
+
+
 def test_composition_equals_cascade():
     first, second, third = toxicity_grammar.negation(), toxicity_grammar.reported_speech(), toxicity_grammar.scorer()
     whole = toxicity_grammar.compose(toxicity_grammar.compose(first, second), third)
@@ -233,6 +341,15 @@ def test_license_scan(spark):
         assert got[i] == longest, i
 
 
+def test_license_interrupted(spark):
+    w = license_scan.TEMPLATES["BSD"].split()
+    cut, header = len(w) // 3, "page seven of the manual".split()
+    text = "before it " + " ".join(w[:cut] + header + w[cut : 2 * cut] + header + w[2 * cut :]) + " behind it"
+    apart = " ".join(w[:cut]) + " filler" * 300 + " " + " ".join(w[cut : 2 * cut]) + " filler" * 300 + " " + " ".join(w[2 * cut :])
+    got = license_scan.scan(docs_of(spark, [(1, text), (2, apart)])).collect()
+    assert [(r.doc_id, r.template) for r in got] == [(1, "BSD")] and got[0].from_word == 2
+
+
 def test_license_with_changes(spark):
     t = license_scan.TEMPLATES["BSD"].split()
     changed = t[:10] + ["oddly"] + t[10:20] + t[21:]
@@ -273,6 +390,18 @@ def near_copies(rng, count, families, words_=60):
     return rows
 
 
+def test_gram_scale_counts_every_document(spark):
+    rng = random.Random(3)
+    d = docs_of(spark, [(i, prose(rng, 40, 60)) for i in range(60)]).repartition(5).select("text").cache()
+    for bits, hold in ((23, 4_000_000), (10, 50)):
+        want = np.zeros(1 << bits)
+        for r in d.collect():
+            g, _ = jaccard_join.grams_of(*jaccard_join.word_hashes(pa.array([r.text])), 2)
+            np.add.at(want, (g >> np.uint64(64 - bits)).astype(np.int64), 1)
+        assert (jaccard_join.gram_scale(d, 2, bits, hold) == np.minimum(2 * np.log2(np.maximum(want, 1)), 63).astype(np.uint8)).all()
+    assert jaccard_join.count_bits(d) == jaccard_join.COUNT_BITS
+
+
 @pytest.mark.parametrize("tau, n, small, block", [(Fraction(3, 5), 3, 16, 2048), (Fraction(3, 5), 3, 2, 16), (Fraction(9, 10), 1, 3, 8), (Fraction(1, 2), 2, 2, 2048)])
 def test_jaccard_join(spark, tau, n, small, block):
     rng = random.Random(5)
@@ -389,6 +518,53 @@ def test_neighbours_isolated(spark):
     assert {r.vec_id: r["count"] for r in got} == {i: 10 for i in range(len(x))}
 
 
+def test_neighbours_tied(spark):
+    v = [float(j % 7 - 3) for j in range(32)]
+    df = spark.createDataFrame([(i, v) for i in range(40)] + [(100 + i, [float((i * j) % 5 + 1) for j in range(1, 9)]) for i in range(4)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in hash_neighbours.neighbours(df).orderBy("vec_id", "rank").collect():
+        got[r.vec_id].append(r.neighbour)
+    assert all(got[i] == [j for j in range(11) if j != i][:10] for i in range(40))
+    assert all(sorted(got[100 + i]) == [100 + j for j in range(4) if j != i] for i in range(4))  # another length, by themselves
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_probes_meet_all_within_the_radius(seed):
+    rng = np.random.default_rng(seed)
+    parts, lead, width = 4, 6, 8
+    code = rng.integers(0, 1 << 32, 300).astype(np.uint64)
+    code[150:] = code[:150] ^ (np.uint64(1) << rng.integers(0, 32, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 150).astype(np.uint64))
+    for radius in (0, 1, 2, 3, 5, 9, 32):
+        masks = hash_neighbours.probes(radius, parts, lead)
+        met = np.zeros((300, 300), bool)
+        for p, m in enumerate(masks):
+            c = hash_neighbours._cells(code, p, width, lead)
+            met |= np.isin(c[:, None] ^ c[None, :], m)
+        assert met[np.bitwise_count(code[:, None] ^ code[None, :]) <= radius].all()
+        assert radius > 5 or not met.all()  # and it prunes
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_meet_equals_brute_force(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(hash_neighbours, "TILE", 16)
+    side = lambda n, top: (rng.integers(0, top, n), rng.integers(0, 1 << 16, n).astype(np.uint64), rng.integers(-2, 3, (n, 6)).astype(np.float32) / np.float32(5))
+    a, b, k, radius = side(50, 40), side(70, 1000 if seed % 2 else 30), 4, 8
+    got = list(zip(*(x.tolist() for x in hash_neighbours.meet(a, b, radius, k, True))))
+    best = defaultdict(dict)
+    for x, y in ((a, b), (b, a)):
+        for i in range(len(x[0])):
+            for j in range(len(y[0])):
+                if x[0][i] != y[0][j] and int(x[1][i] ^ y[1][j]).bit_count() <= radius:
+                    q, o, v = int(x[0][i]), int(y[0][j]), round(float(x[2][i] @ y[2][j]), 6)
+                    best[q][o] = max(best[q].get(o, -99), v)
+    want = [(q, o, v) for q in sorted(best) for v, o in sorted(((v, o) for o, v in best[q].items()), key=lambda t: (-t[0], t[1]))[:k] if v > -2]
+    kept = defaultdict(list)
+    for q, o, v in got:
+        kept[q].append((q, o, v))
+    assert [t for q in sorted(kept) for t in kept[q]] == want
+
+
 def test_neighbours_edges(spark):
     v = [1.0, 2.0, 3.0, 4.0, 5.0]
     rows = [(1, v), (2, v), (2, v), (3, [5.0, 4.0, 3.0, 2.0, 1.0]), (4, None), (5, []), (6, [0.0] * 5), (7, [1.0, float("nan"), 0.0, 0.0, 0.0]), (8, [1.0, 2.0]), (None, v), (9, [1.0, None, 1.0, 1.0, 1.0])]
@@ -414,6 +590,45 @@ def test_classifier(spark):
     assert quality_classifier.score(spark, docs_of(spark, []), model).count() == 0
 
 
+def scalar_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """One coordinate at a time. rows: ({coordinate: value}, label)."""
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-30, min(30, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return weight
+
+
+def test_training_equals_scalar_ftrl():
+    rng = random.Random(4)
+    q, dim = quality_classifier, 1 << quality_classifier.BITS
+    rows = [(np.array([rng.randrange(40) for _ in range(rng.randint(0, 30))], np.int32), rng.randint(0, 1)) for _ in range(50)]
+    weights, bias = q.train(rows)
+    sparse = [({**{i: c * q.SCALE / len(x) for i, c in Counter(x.tolist()).items()}, dim: 1.0}, y) for x, y in rows]
+    want = scalar_ftrl(sparse, q.EPOCHS, q.ALPHA, q.BETA, q.L1, q.L2)
+    assert bias == pytest.approx(want(dim), abs=1e-9)
+    assert all(weights[i] == pytest.approx(want(i), rel=1e-5, abs=1e-7) for i in range(40)) and not weights[40:].any()
+
+
+def test_classifier_without_labels(spark):
+    d = docs_of(spark, [(i, "fine words here") for i in range(5)])
+    for labels in ([], [(99, 0), (98, 1)], [(None, 1)]):
+        with pytest.raises(ValueError, match="no document has a label"):
+            quality_classifier.fit(spark, d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    # rows of one doc_id in any order give one model; doc_ids of another type match
+    rows = [(1, "good words"), (1, "other words"), (2, "BAD!!! ***"), (3, "more good words")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id int, quality int")
+    a, b = (quality_classifier.fit(spark, docs_of(spark, x).repartition(3), labels) for x in (rows, rows[::-1]))
+    assert (a[0] == b[0]).all() and a[1] == b[1] and a[0].any()
+
+
 def test_classifier_needs_both_classes(spark):
     d = docs_of(spark, [(i, "fine words here") for i in range(5)])
     one = spark.createDataFrame([(i, 1) for i in range(5)] + [(None, 0), (99, 0), (3, None)], "doc_id long, quality int")
@@ -454,8 +669,9 @@ def test_intervals(spark, window, gram):
     passage = [prose(rng, 30) for _ in range(4)]
     rows = [(i, " ".join([prose(rng, rng.randint(0, 40)), passage[i % 4] if i % 3 else "", prose(rng, 20), passage[0] if i % 5 == 0 else ""])) for i in range(40)]
     rows += [(50, "same " * 40), (51, rows[3][1]), (52, None), (53, ""), (54, "short one"), (3, rows[3][1]), (None, passage[0])]
-    got = sorted(tuple(r) for r in substring_dedup.repeated_intervals(docs_of(spark, rows), window, gram).collect())
-    assert got == brute_intervals(rows, window)
+    for heavy in (substring_dedup.HEAVY, 5, 0):
+        got = sorted(tuple(r) for r in substring_dedup.repeated_intervals(docs_of(spark, rows), window, gram, heavy).collect())
+        assert got == brute_intervals(rows, window), heavy
 
 
 def test_remove(spark):
@@ -473,6 +689,37 @@ def test_remove(spark):
 
 
 # 10 URLs
+def witten_bell(urls, alphabet, order):
+    """ln P of each URL's characters under a model of the URLs, by counting contexts in dictionaries and recursion."""
+    follow = defaultdict(Counter)
+    for u in urls:
+        s = "\2" * order + u + "\3"
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                follow[s[i - k : i]][s[i]] += 1
+
+    def p(context, c):
+        below = 1 / alphabet if context == "" else p(context[1:], c)
+        seen = follow.get(context)
+        return (seen[c] + len(seen) * below) / (sum(seen.values()) + len(seen)) if seen else below
+
+    return lambda u: [math.log(p(s[i - order : i], s[i])) for s in ["\2" * order + u + "\3"] for i in range(order, len(s))]
+
+
+def test_url_model_equals_recursion(spark):
+    m, rng = url_language_model, random.Random(12)
+    rows = [(i, f"HTTPS://{rng.choice(['ads-x', 'casino', 'news', 'blog', 'shop', 'lib'])}{rng.randint(0, 9)}.example.org/{rng.choice(['a/b', 'c', 'casino'])}?{rng.randint(0, 99)}") for i in range(150)]
+    urls = [u.lower().split("://", 1)[1] for _, u in rows]
+    bad = [any(t in u.split("/")[0] for t in m.TERMS) for u in urls]
+    accepted, rejected = (witten_bell([u for u, b in zip(urls, bad) if b == is_bad], m.ALPHABET, m.ORDER) for is_bad in (False, True))
+    score = [sum(a - r for a, r in zip(accepted(u), rejected(u))) / (len(u) + 1) for u in urls]
+    spread = lambda v: (np.mean(v), np.std(v))
+    (ma, sa), (mr, sr) = spread([s for s, b in zip(score, bad) if not b]), spread([s for s, b in zip(score, bad) if b])
+    threshold = (ma * sr + mr * sa) / (sa + sr)
+    got = {r.page_id: r for r in m.score(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(abs(got[i].url_score - s) <= 6e-7 and (got[i].keep == (s >= threshold) or abs(s - threshold) < 1e-6) for i, s in enumerate(score))
+
+
 def test_url_model(spark):
     import duckdb
 
