@@ -136,7 +136,9 @@ def test_written_tables(spark):
     other = tables.written(spark.range(3), "other")
     tables.dropped(other, None, spark.range(1))
     assert path in tables._paths and other._written_to not in tables._paths
-    assert tables.clear(spark) >= 1
+    n, size = tables.size(spark)
+    assert n >= 1 and size > 0
+    assert tables.clear(spark) == n and tables.size(spark) == (0, 0)
     import os
 
     assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))

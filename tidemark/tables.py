@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,18 @@ def dropped(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps now, and not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def size(spark: SparkSession) -> tuple[int, int]:
+    """Number of written tables that are left, and their bytes."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _paths]
+    return len(paths), sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in paths)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete all tables that this process has written so far; results that still read them must be saved before."""
     n = 0
