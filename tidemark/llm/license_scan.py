@@ -3,9 +3,10 @@
 All rolling GRAM-word hashes of all documents are joined in Spark to the positions of the same hashes in the license
 templates (a fixed table, so it is broadcast). A match of document position i with template position j votes for the
 diagonal i - j; votes are counted by (document, template, diagonal), and diagonals at most GAP apart, which differ
-by a few inserted or lost words, merge into one candidate span. A candidate whose votes cover at least VOTES of the
-template's grams is verified on the document's words: the longest common subsequence with the template must reach
-MATCH of the template's words.
+by a few inserted or lost words, merge into one band. Bands of a template that follow each other in the document
+within the template's length, as where a page header interrupts a license, make one candidate span. A candidate whose
+votes cover at least VOTES of the template's grams is verified on the document's words: the longest common
+subsequence with the template must reach MATCH of the template's words.
 
 Words are lower-cased letters and digits; other characters separate them, so line breaks and marks don't matter.
 
@@ -27,12 +28,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import Words, as_text, ngrams, slices, words
-from tidemark.llm.tables import text_batches
+from tidemark.llm.tables import text_batches, written
 
 GRAM = 3
 GAP = 3
 VOTES = 0.4
 MATCH = 0.8
+#: Hash buckets of doc_ids that are told apart before the texts of candidates are fetched.
+BUCKETS = 1 << 24
+_BUCKET = f"pmod(xxhash64({{}}), {BUCKETS}L)"
 
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -106,14 +110,25 @@ def candidates(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFr
     )
     order = W.partitionBy("doc_id", "template").orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > GAP, F.lit(True)).cast("int")
-    return (
+    bands = (
         votes.withColumn("new", new)
         .withColumn("band", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy("doc_id", "template", "size", "band")
         .agg(F.sum("votes").alias("votes"), F.min("lo").alias("from_word"), (F.max("hi") + GRAM).alias("to_word"))
-        .where(F.col("votes") >= F.ceil((F.col("size") - GRAM + 1) * VOTES))
-        .select("doc_id", "template", "from_word", "to_word", F.col("votes").cast("int").alias("votes"))
     )
+    enough = F.col("votes") >= F.ceil((F.col("size") - GRAM + 1) * VOTES)
+    # bands too weak alone, chained where the next begins within the template's length behind the one before
+    place = W.partitionBy("doc_id", "template").orderBy("from_word", "band")
+    apart = F.coalesce(F.col("from_word") - F.lag("to_word").over(place) > F.col("size"), F.lit(True)).cast("int")
+    chained = (
+        bands.where(~enough)
+        .withColumn("apart", apart)
+        .withColumn("chain", F.sum("apart").over(place.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy("doc_id", "template", "size", "chain")
+        .agg(F.sum("votes").alias("votes"), F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"))
+    )
+    both = bands.drop("band").unionByName(chained.drop("chain")).where(enough)
+    return both.select("doc_id", "template", "from_word", "to_word", F.col("votes").cast("int").alias("votes"))
 
 
 def _verify(templates: dict[str, str]):
@@ -146,11 +161,22 @@ def _verify(templates: dict[str, str]):
     return run
 
 
+def _bits(ids: DataFrame, name: str) -> DataFrame:
+    """word, bits: the buckets of the ids."""
+    return ids.select(F.expr(f"{_BUCKET.format(name)} div 64 as word"), F.expr(f"shiftleft(1L, cast({_BUCKET.format(name)} % 64 as int)) as bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, template, from_word, to_word, votes, matched: the verified spans."""
-    found = candidates(docs, templates).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("template", "from_word", "to_word", "votes")).alias("spans"))
+    """doc_id, template, from_word, to_word, votes, matched: the verified spans.
+
+    Runs the vote at once. Of the texts only those in a candidate's bucket of doc_ids are shuffled to it. The buckets
+    are broadcast as bits, 64 a row, so that there are BUCKETS / 64 rows at most, however many candidates there are.
+    """
+    voted = candidates(docs, templates).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("template", "from_word", "to_word", "votes")).alias("spans"))
+    found = written(voted, "license-candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(found, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spans").mapInArrow(_verify(templates), "doc_id long, template string, from_word int, to_word int, votes int, matched double").distinct()
+    near = texts.join(F.broadcast(_bits(found, "_id")), F.expr(f"{_BUCKET.format('doc_id')} div 64 = word")).where(f"(shiftright(bits, cast({_BUCKET.format('doc_id')} % 64 as int)) & 1) = 1")
+    return near.join(found, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spans").mapInArrow(_verify(templates), "doc_id long, template string, from_word int, to_word int, votes int, matched double").distinct()
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
