@@ -46,6 +46,8 @@ STEM, LONGEST = 4, 10
 SUPPORT, SHARE, LIFT = 5, 0.02, 5
 OTHER, INSULT, THREAT, TARGET, NOT, SAYS, COMMA, END, HINT = range(9)
 SYMBOLS = 9
+#: Stands for a line break among the words; not white space itself, or it would be lost in splitting.
+LINE_END = "\ue000"
 #: Words whose symbols a task keeps before it starts anew.
 KNOWN_WORDS = 200_000
 
@@ -168,7 +170,7 @@ def parts_of(core: str) -> list[str]:
 
 def symbols(word: str, learnt: frozenset[str] = frozenset()) -> tuple[int, int]:
     """Symbol of a word, and COMMA, END or -1 for the mark that follows it."""
-    if word == "\x1e":
+    if word == LINE_END:
         return -1, END
     tail = word[len(word.rstrip(".,;:!?…\"'»”’)")) :]
     mark = END if any(c in ".!?…;" for c in tail) else COMMA if "," in tail or ":" in tail else -1
@@ -229,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> froze
 
 def score_texts(column: pa.Array, table: tuple[list[list[int]], list[list[float]]], learnt: frozenset[str] = frozenset(), known: dict[str, tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Toxicity, matched clauses and the highest clause of each text. known keeps the symbols of words met before."""
-    w = words(pc.replace_substring(as_text(column), "\n", " \x1e "))
+    w = words(pc.replace_substring(as_text(column), "\n", f" {LINE_END} "))
     texts = len(w.offsets) - 1
     total, clauses, most = np.zeros(texts), np.zeros(texts, np.int32), np.zeros(texts)
     if not len(w.ids):
