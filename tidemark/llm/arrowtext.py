@@ -54,7 +54,7 @@ def hash_strings(values: pa.Array, seed: int = 0) -> np.ndarray:
     total = np.concatenate([np.zeros(1, U64), np.cumsum((raw.astype(U64) + U64(1)) * powers(_INVERSE, len(raw)), dtype=U64)])
     # a string's bytes summed with falling powers from its own start
     h = (total[ends[1:]] - total[ends[:-1]]) * powers(_BASE, len(raw) + 1)[ends[:-1]]
-    return mix(h ^ mix(np.diff(ends).astype(U64) + U64(seed) * _GOLDEN))
+    return mix(h ^ mix(np.diff(ends).astype(U64) + U64(seed * int(_GOLDEN) % 2**64)))
 
 
 def give_back() -> None:
