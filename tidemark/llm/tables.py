@@ -7,9 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-from tidemark.tables import dropped, shared_folder, written
+from tidemark.tables import dropped, release, shared_folder, written
 
-__all__ = ["dropped", "fresh", "narrow_batches", "shared_folder", "text_batches", "written"]
+__all__ = ["dropped", "fresh", "narrow_batches", "release", "shared_folder", "text_batches", "written"]
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
