@@ -35,34 +35,35 @@ def seed_frontier(slots: DataFrame, seeds: DataFrame) -> DataFrame:
     return slots.select("slot_id").crossJoin(s).select("slot_id", "url", "ord")
 
 
-def within_budget(frontier: DataFrame, done: DataFrame | None, config: CrawlConfig) -> DataFrame:
-    """The rows of frontier (slot_id, url, path) that domain quotas and the page budget let through, in order.
+def _first(rows: DataFrame, by: list, most: int = 1) -> DataFrame:
+    """The first rows of each key in the order of the crawl; a limit that Spark applies before it shuffles them."""
+    return rows.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("depth", "path"))).where(F.col("n") <= most).drop("n")
 
-    What was done before only lowers a budget, so each window first keeps the rows that the full budget allows: a
-    limit that Spark applies before it sorts or shuffles a slot's frontier.
+
+def within_budget(frontier: DataFrame, done: DataFrame | None, depth: int, config: CrawlConfig) -> DataFrame:
+    """slot_id, url, path, domain, depth: the rows of frontier (slot_id, url, path) that weren't processed before and that domain quotas and the page budget let through.
+
+    What was done counts by standing in front: it is at most a page budget a slot, so no join with counts is needed.
     """
-    f = frontier.withColumn("domain", U.domain(F.col("url")))
-    n = F.row_number().over(W.partitionBy("slot_id", "domain").orderBy("path"))
-    named = f.where("domain != ''").withColumn("n", n).where(F.col("n") <= config.max_pages_per_domain)
-    if done is not None:
-        used = done.groupBy("slot_id", "domain").agg(F.count(F.lit(1)).alias("used"))
-        named = named.join(used, ["slot_id", "domain"], "left").where(F.col("n") + F.coalesce("used", F.lit(0)) <= config.max_pages_per_domain)
-    f = named.select("slot_id", "url", "path", "domain").unionByName(f.where("domain = ''").select("slot_id", "url", "path", "domain"))
-    f = f.withColumn("n", F.row_number().over(W.partitionBy("slot_id").orderBy("path"))).where(F.col("n") <= config.max_pages)
+    rows = frontier.select("slot_id", "url", "path", U.domain(F.col("url")).alias("domain"), F.lit(depth).alias("depth"))
     if done is not None:
-        used = done.groupBy("slot_id").agg(F.count(F.lit(1)).alias("used"))
-        f = f.join(used, "slot_id", "left").where(F.col("n") + F.coalesce("used", F.lit(0)) <= config.max_pages)
-    return f.select("slot_id", "url", "path", "domain")
+        rows = done.select(rows.columns).unionAll(rows)
+    own = F.when(F.col("domain") == "", F.col("url"))  # URLs without a domain share no quota
+    rows = _first(_first(rows, ["slot_id", "url"]), ["slot_id", "domain", own], config.max_pages_per_domain)
+    return _first(rows, ["slot_id"], config.max_pages).where(F.col("depth") == depth)
 
 
-def first_evaluations(pages: DataFrame, seen: DataFrame | None, order: str = "path") -> DataFrame:
-    """Pages whose content wasn't evaluated before in their slot; pages without a hash always count."""
-    n = F.row_number().over(W.partitionBy("slot_id", "content_hash").orderBy(order))
-    p = pages.withColumn("_n", n).where((F.col("_n") == 1) | (F.col("content_hash") == "")).drop("_n")
-    if seen is None:
-        return p
-    known = seen.where("content_hash != ''").select("slot_id", "content_hash").distinct()
-    return p.join(known, ["slot_id", "content_hash"], "left_anti")
+def with_evaluated(pages: DataFrame, done: DataFrame | None, depth: int) -> DataFrame:
+    """pages (slot_id, depth, path, content_hash, ...) with ``evaluated``: whether the page is there and its content is new to the slot.
+
+    Pages without a hash are always new.
+    """
+    rows = pages
+    if done is not None:
+        rows = done.where("evaluated").select(*(F.col(c) if c in ("slot_id", "depth", "path", "content_hash") else F.lit(None).cast(t).alias(c) for c, t in pages.dtypes)).unionAll(pages)
+    alone = F.when(F.coalesce("content_hash", F.lit("")) == "", F.concat_ws(" ", "depth", F.col("path").cast("string")))
+    n = F.row_number().over(W.partitionBy("slot_id", "content_hash", alone).orderBy("depth", "path"))
+    return rows.withColumn("evaluated", F.col("content_hash").isNotNull() & (n == 1)).where(F.col("depth") == depth)
 
 
 def crawl(slots: DataFrame, seeds: DataFrame, pages: DataFrame, config: CrawlConfig, scorer: Callable | None = None) -> DataFrame:
@@ -71,38 +72,32 @@ def crawl(slots: DataFrame, seeds: DataFrame, pages: DataFrame, config: CrawlCon
     pages is the replay source: url (canonical), success, title, main_content, headings, keyword_hits, content_hash,
     text_snippet, extracted_links (array<struct<url, text, title>>). A live fetcher fills such a table first. Without
     a scorer a page's verdict is the same wherever it is reached, so all are judged by rules in one pass; a scorer is
-    asked level by level, about the pages that are reached and no others. Runs jobs at once.
+    asked level by level, about the pages that are reached and no others. Runs jobs at once: one written table a level.
     """
-    known = pages.where("success")
-    kept = ["url", "content_hash", "extracted_links", *VERDICT]
-    judged = None if scorer else written(gate(known, config.gate).select(kept), "crawl-verdicts")
+    known = pages.where("success").withColumn("content_hash", F.coalesce("content_hash", F.lit("")))
+    judged = None if scorer else written(gate(known, config.gate).select("url", "content_hash", "extracted_links", *VERDICT), "crawl-verdicts")
     frontier = seed_frontier(slots, seeds).select("slot_id", "url", F.array("ord").alias("path"))
     levels: list[DataFrame] = []
-    found: list[DataFrame] = []
     for depth in range(config.max_depth + 1):
-        done = reduce(DataFrame.unionAll, [x.select("slot_id", "url", "domain") for x in levels]) if levels else None
-        seen = reduce(DataFrame.unionAll, [x.select("slot_id", "content_hash") for x in found]) if found else None
-        level = written(within_budget(frontier, done, config), f"crawl-{depth}")
+        done = reduce(DataFrame.unionAll, [x.select("slot_id", "url", "path", "domain", "depth", "content_hash", "evaluated") for x in levels]) if levels else None
+        admitted = within_budget(frontier, done, depth, config)
+        if scorer is None:
+            level = written(with_evaluated(admitted.join(judged, "url", "left"), done, depth), f"crawl-{depth}")
+        else:
+            marked = written(with_evaluated(admitted.join(known.select("url", "content_hash"), "url", "left"), done, depth), f"crawl-marked-{depth}")
+            asked = gate(marked.where("evaluated").select("slot_id", "url").join(known, "url"), config.gate, scorer)
+            level = written(marked.join(asked.select("slot_id", "url", "extracted_links", *VERDICT), ["slot_id", "url"], "left"), f"crawl-{depth}")
+            dropped(marked)
         if level.isEmpty():
             dropped(level)
             break
         levels.append(level)
-        if scorer is None:
-            verdicts = first_evaluations(level.join(judged, "url"), seen)
-        else:
-            verdicts = gate(first_evaluations(level.join(known, "url"), seen), config.gate, scorer)
-        found.append(written(verdicts.select("slot_id", "path", F.lit(depth).alias("depth"), *kept), f"crawl-found-{depth}"))
-        if depth == config.max_depth:
-            break
-        links = found[-1].where("expand").select("slot_id", "path", F.posexplode("extracted_links").alias("pos", "link"), F.col("url").alias("_base"))
-        new = links.select("slot_id", F.concat("path", F.array(F.col("pos").cast("long"))).alias("path"), U.canonical(F.col("link.url"), F.col("_base")).alias("url"))
-        new = new.where(F.col("url").isNotNull() & U.looks_like_article(F.col("url"))).groupBy("slot_id", "url").agg(F.min("path").alias("path"))
-        for x in levels:
-            new = new.join(x.select("slot_id", "url"), ["slot_id", "url"], "left_anti")
-        frontier = new.select("slot_id", "url", "path")
+        links = level.where("evaluated and expand").select("slot_id", "path", F.posexplode("extracted_links").alias("pos", "link"), F.col("url").alias("_base"))
+        new = links.select("slot_id", U.canonical(F.col("link.url"), F.col("_base")).alias("url"), F.concat("path", F.array(F.col("pos").cast("long"))).alias("path"))
+        frontier = new.where(F.col("url").isNotNull() & U.looks_like_article(F.col("url")))
     dropped(judged)
-    if not found:
+    if not levels:
         raise ValueError("there is no seed within the budget")
-    light = reduce(DataFrame.unionAll, [x.drop("content_hash", "extracted_links") for x in found])
+    light = reduce(DataFrame.unionAll, [x.where("evaluated").select("slot_id", "url", "path", "depth", *VERDICT) for x in levels])
     light = light.withColumn("ord", F.row_number().over(W.partitionBy("slot_id").orderBy("depth", "path"))).drop("path")
     return light.join(known.select(*(c for c in pages.columns if c not in VERDICT)).dropDuplicates(["url"]), "url")

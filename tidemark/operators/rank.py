@@ -31,6 +31,11 @@ def union_in_order(parts: Sequence[DataFrame], url: str = "url", ord_: str = "or
     return first_wins(all_of, [*by, "url"], ["src_rank", "ord"])
 
 
+def except_known(candidates: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The distinct keys of candidates that aren't among the known ones (queued or visited, say)."""
+    return candidates.select(*key).distinct().join(known.select(*key), list(key), "left_anti")
+
+
 def sources_of(df: DataFrame, key: Sequence[str], source: str = "source") -> DataFrame:
     """Sorted distinct sources of each key."""
     return df.groupBy(*key).agg(F.array_sort(F.collect_set(source)).alias("sources"))

@@ -439,7 +439,7 @@ def feed_entrances(spark, sf_dir):
 def frontier_except(spark, sf_dir):
     """Candidates that were neither queued nor visited: an anti join on the canonical URL."""
     p = table(spark, sf_dir, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"))
-    return p.select("canonical").distinct().join(p.where("page_id % 2 = 0").select("canonical"), "canonical", "left_anti")
+    return R.except_known(p, p.where("page_id % 2 = 0"), ["canonical"])
 
 
 @query("select page_id, md5(url) as data_id, page_id % 3 = 0 as success, case when page_id % 3 = 0 then null else 'no cached page' end as error from pages")
