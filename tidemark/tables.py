@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -22,16 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _paths: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors.
 
-    The table stays until it is dropped, cleared, or the driver ends.
+    The table stays until it is dropped, cleared, or the driver ends. The shuffle files of the write go as soon as it
+    is done; Spark would keep them until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if not _paths:
         atexit.register(_at_exit, spark)
     _paths.append(path)
@@ -54,12 +60,6 @@ def dropped(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of finished steps now, and not when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def size(spark: SparkSession) -> tuple[int, int]:
     """Number of written tables that are left, and their bytes."""
     paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _paths]
