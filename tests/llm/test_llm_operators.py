@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -411,6 +412,53 @@ def test_jaccard_join(spark, tau, n, small, block):
     assert got == brute_pairs(rows, tau, n)
 
 
+def brute_classes(rows, pairs):
+    """class and links of each doc_id."""
+    ids = {i for i, _ in rows if i is not None}
+    near, of = defaultdict(set), {}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    for i in sorted(ids):
+        todo = [i] if i not in of else []
+        while todo:
+            x = todo.pop()
+            if x not in of:
+                of[x] = i
+                todo += near[x]
+    return {i: (of[i], len(near[i])) for i in ids}
+
+
+@pytest.mark.parametrize("tau, n, small, block", [(Fraction(1, 2), 3, 16, 2048), (Fraction(3, 5), 3, 2, 16), (Fraction(9, 10), 1, 3, 8), (Fraction(1, 2), 2, 2, 2048), (Fraction(1, 2), 2, 4, 5), (Fraction(4, 5), 3, 3, 300)])
+def test_jaccard_classes(spark, tau, n, small, block):
+    rng = random.Random(7)
+    rows = near_copies(rng, 25, 4) + near_copies(rng, 3, 10, 12) + [(0, t) for _, t in near_copies(rng, 1, 5) for _ in range(12)]
+    rows = [(k * 7 % 1000, t) for k, (_, t) in enumerate(rows)]
+    rows += [(2000, "solo"), (2001, "Solo!"), (2002, "two words"), (2003, "two words"), (5, rows[5][1]), rows[7], rows[7], (rows[8][0], rows[8][1].upper()), (rows[9][0], rows[40][1]), (rows[9][0], rows[90][1] + " " + prose(rng, 20)), (2004, None), (2005, ""), (2006, ""), (None, rows[0][1])]
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard_join.classes(docs_of(spark, rows), tau, n, small=small, block=block).collect()}
+    assert got == brute_classes(rows, brute_pairs(rows, tau, n))
+
+
+def test_jaccard_classes_of_a_large_group(spark):
+    """What is written grows with the documents, not with the pairs of a group of copies."""
+    rng = random.Random(8)
+    base = prose(rng, 60, 2000).split()
+    rows = [(i, " ".join([*base, f"x{i % 700}"])) for i in range(1500)]
+    links = jaccard_join.linked(docs_of(spark, rows), block=500)
+    assert links.count() <= 4 * len(rows)  # 1,124,250 pairs
+    got = jaccard_join.classes(docs_of(spark, rows), block=500).collect()
+    assert len(got) == len(rows) and {(r.class_id, r.links) for r in got} == {(0, len(rows) - 1)}
+    assert jaccard_join.classes(docs_of(spark, [])).count() == 0
+
+
+def test_jaccard_sql(spark):
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = {tuple(r) for r in con.execute(jaccard_join.ORACLE).fetchall()}
+    got = [(r.doc_id, r.class_id, r.links) for r in jaccard_join.op5_jaccard_join(spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == len(want) and set(got) == want and any(x[2] for x in got)
+
+
 def test_metric_join_recursion():
     rng = np.random.default_rng(1)
     grams = []
