@@ -566,6 +566,50 @@ def test_neighbours_isolated(spark):
     assert {r.vec_id: r["count"] for r in got} == {i: 10 for i in range(len(x))}
 
 
+def test_neighbours_of_queries(spark):
+    """The registered query asks for one vec_id of EVERY against all vectors; recall against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id")
+    ids, x = np.array([r.vec_id for r in df.collect()]), np.array([r.embedding for r in df.collect()], np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(list)
+    for r in hash_neighbours.op7_hash_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got[r.vec_id].append((r.neighbour, r.similarity))
+    asked = np.flatnonzero(ids % hash_neighbours.EVERY == 0)
+    assert set(got) == set(ids[asked].tolist()) and all(len(g) == 10 for g in got.values())
+    hit = 0
+    for i in asked:
+        s = u @ u[i]
+        s[i] = -9
+        hit += len(set(ids[np.argsort(-s)[:10]].tolist()) & {o for o, _ in got[int(ids[i])]})
+        assert all(abs(v - s[np.searchsorted(ids, o)]) < 1e-4 for o, v in got[int(ids[i])])
+    assert hit / (10 * len(asked)) >= 0.9
+
+
+def test_queries_exact_at_every_number_of_leading_bits(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, ids = rng.normal(size=(300, 32)).astype(np.float32), [*range(-100, 150), *range(50)]
+    monkeypatch.setattr(hash_neighbours, "CELL", 8)  # several blocks and cells
+    want = nearest(ids, x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    for lead in (0, 3):
+        monkeypatch.setattr(hash_neighbours, "leading", lambda *_, lead=lead: lead)
+        got = defaultdict(list)
+        for r in hash_neighbours.neighbours(df, radius=32, every=7).orderBy("vec_id", "rank").collect():
+            got[r.vec_id].append(r.neighbour)
+        assert got == {i: o for i, o in want.items() if i % 7 == 0}
+    near = spark.createDataFrame([(20 * i + c, (x[i] + 0.001 * c).tolist()) for i in range(60) for c in range(20)], "vec_id long, embedding array<float>")
+    found = hash_neighbours.neighbours(near, radius=2, every=7).collect()  # all parts are probed
+    assert len(found) == 10 * len(range(0, 1200, 7)) and all(r.vec_id // 20 == r.neighbour // 20 for r in found)
+    assert hash_neighbours.neighbours(df, every=1000).where("vec_id != 0").count() == 0
+    assert hash_neighbours.neighbours(df.where("vec_id % 7 != 0"), every=7).count() == 0
+
+
+def test_leading_bits_cost_least():
+    lead = hash_neighbours.leading
+    assert lead(28, 4, 6, 12_000, 600_000) == 0  # nothing is pruned: few copies
+    assert lead(4, 4, 12, 1_000_000, 50_000_000) > 6  # cells are pruned
+
+
 def test_neighbours_tied(spark):
     v = [float(j % 7 - 3) for j in range(32)]
     df = spark.createDataFrame([(i, v) for i in range(40)] + [(100 + i, [float((i * j) % 5 + 1) for j in range(1, 9)]) for i in range(4)], "vec_id long, embedding array<float>")
