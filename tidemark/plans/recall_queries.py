@@ -181,7 +181,7 @@ def combined_links(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     md = F.concat(F.lit("[a](/x/"), "page_id", F.lit(' "t") ![i](https://i.example/p) [m](mailto:q) [b](/x/'), "page_id", F.lit("?utm_source=z)"))
     rows = p.select("page_id", "url", F.lit('<a href="/h" title="q">l</a><a href="https://i.example/p#top">again</a><a href="javascript:x">j</a>').alias("html"), md.alias("markdown"), F.lit("body").alias("clean_content"), F.lit("").alias("title"))
-    e = X.extract(rows, [KEYWORD]).join(p.select(F.md5("url").alias("data_id"), "page_id"), "data_id").dropDuplicates(["page_id"])
+    e = X.extract(rows, [KEYWORD], keep=["page_id"])
     get = lambda f: F.array_join(F.transform("extracted_links", lambda x: x[f]), "|" if f == "url" else ",")
     return e.select("page_id", get("url").alias("links"), get("text").alias("texts"), F.col("extracted_links_count").alias("n"))
 
