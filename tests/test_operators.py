@@ -192,3 +192,21 @@ def test_crawl_agrees_with_queue_model(spark, seed):
     rows = got.orderBy("depth", "ord").collect()
     for slot in (1, 2):
         assert [(r.url, r.depth) for r in rows if r.slot_id == slot] == want
+
+
+def test_links_of_a_large_page(spark):
+    """First of each URL in order, in a time that grows with the links and not with their square."""
+    import time
+
+    link = lambda u, t: F.struct(u.alias("url"), t.alias("text"))
+    links = F.transform(F.sequence(F.lit(0), F.lit(5999)), lambda k: link(F.concat(F.lit("http://h"), k % 3, F.lit(".example/"), (k * 7) % 4000), k))
+    odd = F.array(link(F.lit(None).cast("string"), F.lit(9)), link(F.lit("http://b.x/"), F.lit(1)), link(F.lit("http://a.x/"), F.lit(2)), link(F.lit("http://b.x/"), F.lit(3)))
+    row = spark.range(1).select(X.unique_links(odd).alias("odd"), X.unique_links(F.filter(odd, lambda x: F.lit(False))).alias("none"), X.unique_links(F.lit(None).cast("array<struct<url: string>>")).alias("null")).first()
+    assert [x.text for x in row.odd] == [1, 2] and row.none == [] and row.null is None
+    began = time.perf_counter()
+    got = spark.range(1).select(X.unique_links(links, block=["H2"], most=10_000).alias("l")).first().l
+    assert time.perf_counter() - began < 20
+    first = {}
+    for k in range(6000):
+        first.setdefault(f"http://h{k % 3}.example/{k * 7 % 4000}", k)
+    assert [x.text for x in got] == [k for u, k in first.items() if "h2" not in u]
