@@ -210,3 +210,14 @@ def test_links_of_a_large_page(spark):
     for k in range(6000):
         first.setdefault(f"http://h{k % 3}.example/{k * 7 % 4000}", k)
     assert [x.text for x in got] == [k for u, k in first.items() if "h2" not in u]
+
+
+def test_pages_are_parsed_in_small_batches(spark):
+    import pyarrow as pa
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pages = spark.range(0, 3000, 1, 1).select("id", F.concat(F.lit("<title>t</title><p>"), "id").alias("html"))
+    p = X.with_parsed(pages)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    assert pages.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 1000
+    assert p.where("html_title = 't' and html_text = concat('t ', id)").count() == 3000
