@@ -221,3 +221,14 @@ def test_pages_are_parsed_in_small_batches(spark):
     sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
     assert pages.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 1000
     assert p.where("html_title = 't' and html_text = concat('t ', id)").count() == 3000
+
+
+def test_streamed_rows_keep_their_tasks(spark):
+    """A stored stream has a file for each task, so none of them grows with the table; four parts all the same."""
+    from tidemark.plans.stream_queries import _streamed
+
+    for parts, batch in ((1, 1), (4, 1), (12, 3)):
+        s = _streamed(spark, spark.range(0, 1200, 1, parts), "files")
+        path = s._jdf.logicalPlan().dataSource().options().apply("path")
+        assert len([f for f in __import__("os").listdir(path.removeprefix("file:")) if f.endswith(".parquet")]) == max(4, parts)
+        assert s._jdf.logicalPlan().dataSource().options().apply("maxFilesPerTrigger") == str(batch)

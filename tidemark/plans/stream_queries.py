@@ -11,11 +11,12 @@ from tidemark.plans.source_queries import place
 from tidemark.streaming import driver
 
 
-def _streamed(spark, rows, name):
-    """rows, stored in four files that arrive one by one."""
+def _streamed(spark, rows, name, batches=4):
+    """rows, stored in files that arrive in four parts: a file for each task that reads them, four at least."""
     path = place(spark, name)
-    rows.repartition(4).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    (rows if files >= batches else rows.repartition(batches)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-max(files, batches) // batches)).parquet(path)
 
 
 def _drained(spark, stream, name):
