@@ -831,3 +831,29 @@ def test_url_model(spark):
     one_kind = url_language_model.score(df.where("url like '%tion%'")).collect()
     assert all(r.keep and r.url_score == 0 for r in one_kind)
     assert url_language_model.score(df.where("false")).count() == 0
+
+
+def test_meetings_beyond_the_overlaps_place_do_not_count():
+    """Two sets of 300 grams need 200 in common, so one of the first 108 of both is among these: a meeting at place 140 isn't."""
+    import pyarrow as pa
+
+    from tidemark.llm import jaccard_join as J
+
+    def met(place):
+        size = 300 | (place * 128 // 300 << J.PLACE)
+        b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([size, size]), pa.array([7, 7])], ["doc_id", "size", "gram"])
+        return sum(x.num_rows for x in J._meetings(J.TAU, J.SHARED, J.SMALL)([b]))
+
+    assert met(100) == 1
+    assert met(140) == 0
+
+
+def test_visitors_of_a_region_are_not_compared():
+    import numpy as np
+
+    from tidemark.llm import jaccard_join as J
+
+    sets = [np.arange(0, 100, dtype=np.uint64), np.arange(200, 300, dtype=np.uint64), np.arange(205, 305, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)]
+    of = lambda member: [r for b in J._linked(np.arange(4), np.array(member), np.zeros(4, np.int64), np.zeros(4, bool), [x.tobytes() for x in sets], J.TAU) for r in zip(*(b.column(k).to_pylist() for k in range(3)))]
+    assert of([True, False, False, False]) == [(0, 0, 1), (3, 0, 1)]  # doc_id, smallest connected, links
+    assert sorted(of([True, True, False, False])) == [(0, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 1)]
